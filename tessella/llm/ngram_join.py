@@ -11,9 +11,12 @@ links to. The number of segments and of those with deletions comes from a cost
 model for each bucket. Sets whose segments weigh too little (small sets, mostly)
 also index their prefix in hash order, by which any two such sets meet.
 
-Sets with the same signature are linked in two rounds: each with the smallest of
-its group, then any two of a group that the first round left in different
-components. Every link is verified on the whole sets. Shingles are 64-bit hashes.
+A group of sets with the same signature has a hub, the one that is in most groups. First
+each member is verified against its hub; hubs of near copies are their originals, so that
+this joins most of what belongs together. Then, hub by hub, members that are not in the
+hub's component are verified against all its members, in tiles of bounded size, so that no
+pairs travel. Any two sets that share a signature are thus compared, unless they are in one
+component already. Every link is verified on the whole sets. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ from tessella.llm.common import Stash, components, int_keyed, mix64, prepare, ro
 
 #: Elements that a segment needs for its signature, and those with which a deletion still has as many.
 LEAST, LEAST_DELETED = 2, 3
+#: Shingles on one side of a tile.
+TILE = 400_000
 #: What a signature of a segment with two elements costs besides its row, as such are shared more often.
 SHORT_COST = 3.0
 
@@ -170,6 +176,33 @@ def _signature_rows(k: int, percent: int):
     return rows
 
 
+def _verify_tile(percent: int):
+    """Pairs of components that a link between a left and a right set of the tile joins."""
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_left, root = pdf["is_left"].to_numpy(), pdf["root"].to_numpy()
+        sets = pdf["shingles"].to_numpy()
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        sizes = np.array([len(sets[r]) for r in right], np.int64)
+        elements, owner = np.concatenate([sets[r] for r in right]), np.repeat(np.arange(len(right)), sizes)
+        order = np.argsort(elements, kind="stable")
+        elements, owner = elements[order], owner[order]
+        found = set()
+        for i in left:
+            own = np.sort(sets[i])
+            a, b = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
+            n = b - a
+            hits = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[hits], minlength=len(right))
+            linked = (100 * both >= percent * (len(own) + sizes - both)) & (root[right] != root[i])
+            found |= {(int(root[i]), int(x)) for x in np.unique(root[right[linked]])}
+        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+
+    return rows
+
+
 def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document of docs (doc_id, text).
 
@@ -189,27 +222,30 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: in
     involved = groups.df.select("node").distinct().join(named, "node").select("doc_id")
     sets = Stash(spark, docs.join(involved, "doc_id", "left_semi").mapInArrow(_set_rows(k, True), "doc_id long, n_shingles long, node long, shingles array<long>").drop("doc_id").dropDuplicates(["node"]))
     held = sets.df
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = held.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb"))
-        right = held.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa"))
-        near = pairs.join(left, "b").join(right, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return near.withColumn("both", shared).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
-
-    first = groups.df.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = Stash(spark, verified(first))
-    roots = Stash(spark, components(spark, links.df))
-    placed = groups.df.join(roots.df, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_groups = Stash(spark, placed.join(split, "key"))
-    one, two = open_groups.df, open_groups.df.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-    rest = one.join(two, "key").where("root < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    late = Stash(spark, verified(rest))
+    weights = groups.df.groupBy("node").agg(F.count("*").alias("weight"))
+    heavy = groups.df.join(weights, "node").withColumn("hub", F.max(F.struct("weight", "node")).over(group)["node"])
+    stars = Stash(spark, heavy.where("node <> hub").select("hub", "node").distinct())
+    left = held.select("node", F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb"))
+    right = held.select(F.col("node").alias("hub"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa"))
+    near = stars.df.join(left, "node").join(right, "hub").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    shared = near.withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long")).where(f"100 * both >= {percent} * (na + nb - both)")
+    roots = Stash(spark, components(spark, shared.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+
+    root_of = roots.df.select("node", "root")
+    members = stars.df.join(root_of, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root"))
+    hubs = members.select("hub").distinct().join(root_of.select(F.col("node").alias("hub"), F.col("root").alias("own")), "hub", "left").select("hub", F.coalesce("own", "hub").alias("own"))
+    sized = members.join(hubs, "hub").join(held.select("node", "n_shingles"), "node").withColumn("apart", F.expr("root <> own"))
+    loads = sized.groupBy("hub").agg(*(F.ceil(F.sum(F.expr(f"if({cond}, n_shingles, 0)")) / TILE).cast("int").alias(name) for name, cond in (("lefts", "apart"), ("rights", "true")))).where("lefts > 0")
+    placed = sized.join(loads, "hub")
+    deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = placed.where("apart").select("hub", deal("lefts", 1).alias("i"), span("rights").alias("j"), F.lit(True).alias("is_left"), "node", "root")
+    rights = placed.select("hub", span("lefts").alias("i"), deal("rights", 2).alias("j"), F.lit(False).alias("is_left"), "node", "root")
+    tiles = lefts.unionByName(rights).join(held.select("node", "shingles"), "node").groupBy("hub", "i", "j")
+    late = Stash(spark, tiles.applyInPandas(_verify_tile(percent), "a long, b long").distinct())
     if not late.df.isEmpty():
-        merged = roots.df.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late.df)
-        roots = Stash(spark, components(spark, merged))
-    for used in (groups, sets, links, open_groups, late):
+        roots = Stash(spark, components(spark, roots.df.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late.df)))
+    for used in (groups, sets, stars, late):
         used.drop()
 
     joined = sizes.df.join(roots.df, "node", "left").withColumn("part", F.coalesce("root", "node"))
