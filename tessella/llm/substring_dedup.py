@@ -5,8 +5,8 @@ more than once name the documents and windows that can repeat. Those windows are
 hashed whole, and windows seen at least twice are confirmed with the place where
 each starts first. Neighbouring first places of a document form a passage. The
 passages are dealt to shards of bounded size; each shard compiles an
-Aho-Corasick automaton over blocks of half a window, and every document that can
-hold one of its passages streams through it. A found block is extended word by
+Aho-Corasick automaton over blocks of half a window, and the stretches of all documents
+around the anchors of its passages stream through it. A found block is extended word by
 word, so that an occurrence is an equality of words, not of hashes.
 """
 
@@ -146,22 +146,45 @@ class PhraseAutomaton:
                     yield i, at - a, start - a, a + b
 
 
+def _fragments(window: int):
+    """The stretches of a document that hold the windows around its anchors in a shard's passages: (shard, doc_id, pos, text)."""
+    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("text", pa.string())])
+    back = window - ANCHOR
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20):
+            out: list[list] = [[], [], [], []]
+            for doc, text, visits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "visits")), strict=True):
+                words = split_words(text, lower=False)
+                by_shard: dict[int, list[int]] = defaultdict(list)
+                for v in visits:
+                    by_shard[v["shard"]].append(v["pos"])
+                for shard, places in by_shard.items():
+                    at = np.sort(np.array(places))
+                    for run in np.split(at, np.flatnonzero(np.diff(at) > back + window) + 1):
+                        a = max(0, int(run[0]) - back)
+                        for column, value in zip(out, (shard, doc, a, b" ".join(words[a : int(run[-1]) + window]).decode()), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    return rows
+
+
 def _locate(window: int):
-    """For a shard: the stretches of its documents that are later occurrences of its passages."""
+    """For a shard: the stretches of documents that are later occurrences of its passages."""
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_passage = pdf["pos"].notna()
-        held = pdf[is_passage]
+        held = pdf[pdf["is_passage"]]
         passages = [(int(d), int(p), t.split(" ")) for d, p, t in zip(held["doc_id"], held["pos"], held["text"], strict=True)]
         found = []
         if passages:
             automaton = PhraseAutomaton(passages, window)
-            for doc, text in zip(pdf["doc_id"][~is_passage], pdf["text"][~is_passage], strict=True):
-                words = [w.decode() for w in split_words(text, lower=False)]
-                for i, at, start, length in automaton.occurrences(words):
+            stream = pdf[~pdf["is_passage"]]
+            for doc, at, text in zip(stream["doc_id"], stream["pos"], stream["text"], strict=True):
+                for i, inner, start, length in automaton.occurrences(text.split(" ")):
                     source, first, _ = passages[i]
-                    if (source, first + at) != (doc, start):
-                        found.append((int(doc), start, start + length))
+                    if (source, first + inner) != (doc, at + start):
+                        found.append((int(doc), int(at + start), int(at + start + length)))
         return pd.DataFrame(found, columns=["doc_id", "a", "b"]).astype("int64")
 
     return rows
@@ -184,12 +207,11 @@ def removed_stretches(spark: SparkSession, docs: DataFrame, window: int = 20) ->
     shards = max(1, -(-size // SHARD_WORDS))
     dealt = passages.df.withColumn("shard", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(shards)).cast("int"))
     homes = dealt.select("shard", F.explode("anchors").alias("h")).distinct()
-    visits = places.df.select("h", "doc_id").distinct().join(homes, "h").select("doc_id", "shard").distinct()
-    routed = visits.join(held.df.select("doc_id", "text"), "doc_id")
-    streams = Stash(spark, routed)
+    visits = places.df.join(homes, "h").groupBy("doc_id").agg(F.collect_set(F.struct("shard", "pos")).alias("visits"))
+    streams = Stash(spark, held.df.select("doc_id", "text").join(visits, "doc_id").mapInArrow(_fragments(window), "shard int, doc_id long, pos int, text string"))
     loads = streams.df.groupBy("shard").agg((F.floor(F.sum(F.length("text")) / (6 * STREAM_WORDS)) + 1).cast("int").alias("parts"))
-    texts = streams.df.join(loads, "shard").select("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int").alias("part"), "doc_id", F.lit(None).cast("int").alias("pos"), "text")
-    copies = dealt.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "pos", F.col("passage").alias("text"))
+    texts = streams.df.join(loads, "shard").select("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_passage"), "doc_id", "pos", "text")
+    copies = dealt.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_passage"), "doc_id", "pos", F.col("passage").alias("text"))
     stretches = Stash(spark, texts.unionByName(copies).groupBy("shard", "part").applyInPandas(_locate(window), "doc_id long, a long, b long"))
     for used in (places, passages, streams):
         used.drop()
