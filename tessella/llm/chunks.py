@@ -11,7 +11,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Chunks remembered by each Python worker; at most as many characters in one that is.
-CHUNK_CACHE, LONGEST_KEPT = 500_000, 64
+CHUNK_CACHE, LONGEST_KEPT = 600_000, 64
 
 _gap, _odd_gap = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 

@@ -1,6 +1,6 @@
 """Packing documents into sequences by Karmarkar-Karp multiway differencing.
 
-Each task packs lots of about a million ids. Whole windows are cut off long documents
+Each task packs lots of about half a million ids. Whole windows are cut off long documents
 first. What is left of each document is an item; items start as partial partitions with
 one loaded window each. The two partitions with the largest imbalance are merged again
 and again, the fullest window of one onto the emptiest of the other, until one partition
@@ -24,7 +24,7 @@ from tessella.llm.common import int_keyed, prepare, slices
 
 CAPACITY = 4096
 #: Ids of a lot, about: what one task packs at a time.
-LOT = 1 << 20
+LOT = 1 << 19
 #: Items at most this long, so that windows can be made near-equal; longer remainders are cut in two.
 ITEM = CAPACITY // 2
 
@@ -83,6 +83,8 @@ def pack_lot(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, i
         return pieces
     sizes = np.array([x[2] for x in items], np.int64)
     windows = -(-int(sizes.sum()) // capacity)
+    if windows > 8:  # differencing leaves windows a few ids apart; without that room it would only be repeated
+        windows = -(-int(sizes.sum()) // (capacity - capacity // 256))
     while True:
         window = difference(sizes, windows)
         most = int(np.bincount(window, sizes, windows).max())
