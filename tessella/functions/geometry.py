@@ -31,7 +31,7 @@ def patch_mpp(mpp: Column, w: Column, h: Column, patch_w: Column, patch_h: Colum
 
 
 def magnification(mpp: Column, downsample: Column) -> Column:
-    """10x at 1 um a pixel... scaled so that 2 um at downsample 1 is 10x; NULL without a positive resolution."""
+    """2 um a pixel at downsample 1 is 10x; NULL without a positive resolution."""
     return F.when((mpp > 0) & (downsample > 0), F.lit(20.0) / (mpp * downsample))
 
 
