@@ -73,6 +73,17 @@ def int_keyed(df: DataFrame, key: str, *others: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), *others)
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): the whole row in one column, so that its other columns can have any name."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def with_text(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of a ``wrapped`` frame with its text in place of theirs; n_chars follows."""
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return df.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches in pieces of about max_bytes; a single longer row is a piece of its own."""
     for batch in batches:

@@ -256,6 +256,5 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: in
 
 def drop_similar(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those whose component has a smaller doc_id; of rows that repeat a doc_id one stays."""
-    groups = similar_groups(spark, docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    kept = similar_groups(spark, docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

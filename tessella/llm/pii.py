@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import int_keyed
+from tessella.llm.common import int_keyed, with_text, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
 VOTES = ("form", "gazetteer", "context", "digits")
@@ -195,8 +195,7 @@ def redact(spark: SparkSession, docs: DataFrame, marks: Iterable[tuple[str, str]
     """docs with a mark in place of each span; of overlapping spans the first by start, then the longest. Null texts stay null; n_chars follows."""
     own = dict(marks)
     mark = "CASE s.kind " + " ".join(f"WHEN '{k}' THEN {_sql(m)}" for k, m in own.items()) + " ELSE '' END"
-    found = spans(docs.select(F.col("text").alias("_before"), *docs.columns), fit(docs)).withColumn("spans", F.expr("array_sort(spans, (x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE y.end - x.end END)"))
+    found = spans(wrapped(docs), fit(docs)).withColumn("spans", F.expr("array_sort(spans, (x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start ELSE y.end - x.end END)"))
     step = f"if(s.start < acc.at, acc, named_struct('at', s.end, 'out', concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), {mark})))"
-    cut = F.expr(f"if(size(spans) = 0, _before, aggregate(spans, named_struct('at', 0, 'out', ''), (acc, s) -> {step}, acc -> concat(acc.out, substring(text, acc.at + 1))))")
-    out = found.withColumn("text", cut)
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
+    cut = F.expr(f"if(size(spans) = 0, row.text, aggregate(spans, named_struct('at', 0, 'out', ''), (acc, s) -> {step}, acc -> concat(acc.out, substring(text, acc.at + 1))))")
+    return with_text(found.withColumn("text", cut), docs)

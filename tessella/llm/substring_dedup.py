@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Stash, int_keyed, mix64, prepare, rolling, slices, split_words, word_hashes
+from tessella.llm.common import Stash, int_keyed, mix64, prepare, rolling, slices, split_words, with_text, word_hashes, wrapped
 
 #: Words of an anchor.
 ANCHOR = 6
@@ -268,6 +268,5 @@ def _repeats(docs: DataFrame) -> bool:
 
 def cut_documents(spark: SparkSession, docs: DataFrame, window: int = 20) -> DataFrame:
     """The documents with the texts that are left; documents that lose no word keep their text as it is, n_chars follows."""
-    cut = cut_texts(spark, docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs, window).select(F.col("doc_id").alias("cut_id"), "kept_text")
-    joined = docs.join(cut, F.col("doc_id") == F.col("cut_id"), "left").withColumn("text", F.coalesce("kept_text", "text"))
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else joined.select(docs.columns)
+    cut = cut_texts(spark, docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs, window).select("doc_id", "kept_text")
+    return with_text(wrapped(docs).join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text")), docs)

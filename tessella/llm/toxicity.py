@@ -40,7 +40,7 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕкмнтвгαορνικτβε", "aeo
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 EXCEPTIONS = ("trash can", "trash cans", "trash bag", "trash bags", "clown fish", "class clown", "pond scum", "stupid question")
 
-_ends = re.compile(r"[^\w\s]+(?!\w)")
+_ends = re.compile(r"[^\w\s]{2,}(?!\w)|[^\w\s$€](?!\w)")
 _table = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(c): " " for c in "“”„«»‘’…–—¿¡·"} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 _table |= {ord(a): b for a, b in (HOMOGLYPHS | LEET).items()} | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 
