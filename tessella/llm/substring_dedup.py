@@ -125,25 +125,51 @@ class PhraseAutomaton:
             self.letters[word] = chr(n if n < 0xD800 else n + 0x800)  # without surrogates
         return self.letters[word]
 
-    def occurrences(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(passage, start in it, start in the document, length) of maximal common runs of a window or more."""
-        get = self.letters.get
-        text = "".join(get(w, "\0") for w in words)
+    def occurrences(self, words: list[str], doc: int, first: int) -> list[tuple[int, int]]:
+        """(start, length) of stretches of the words, which start at word ``first`` of a document, that repeat a passage from elsewhere.
+
+        All windows in a passage are found; a block whose windows all lie in a stretch found before is passed over.
+        """
+        get, window, step = self.letters.get, self.window, self.step
+        text = "".join([get(w, "\0") for w in words])
         done: dict[tuple[int, int], int] = {}
+        out = []
+        low = high = 0
         for end, places in self.automaton.iter(text):
-            start = end - self.step + 1
+            start = end - step + 1
+            if low <= start - step and start + window <= high:
+                continue
             for i, at in places:
-                coded = self.coded[i]
-                if done.get((i, start - at), -1) > end:
+                key = i, start - at
+                source, place, _ = self.passages[i]
+                if done.get(key, -1) > end or source == doc and place + at == first + start:
                     continue
-                a, b = 0, self.step
-                while at - a > 0 and start - a > 0 and coded[at - a - 1] == text[start - a - 1]:
-                    a += 1
-                while at + b < len(coded) and start + b < len(text) and coded[at + b] == text[start + b]:
-                    b += 1
-                done[i, start - at] = start + b
-                if a + b >= self.window:
-                    yield i, at - a, start - a, a + b
+                coded = self.coded[i]
+                a = _common(coded[max(0, at - window) : at][::-1], text[max(0, start - window) : start][::-1])
+                b = step + _common(coded[at + step :], text[start + step : start + step + len(coded) - at])
+                done[key] = start + b
+                if a + b >= window:
+                    out.append((start - a, a + b))
+                    if start + b > high:
+                        low, high = start - a, start + b
+                        if low <= start - step and start + window <= high:
+                            break
+        return out
+
+
+def _common(x: str, y: str) -> int:
+    """Length of the common beginning."""
+    most = min(len(x), len(y))
+    if x[:most] == y[:most]:
+        return most
+    low, high = 0, most
+    while high - low > 1:
+        middle = (low + high) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
 
 
 def _fragments(window: int):
@@ -181,10 +207,7 @@ def _locate(window: int):
             automaton = PhraseAutomaton(passages, window)
             stream = pdf[~pdf["is_passage"]]
             for doc, at, text in zip(stream["doc_id"], stream["pos"], stream["text"], strict=True):
-                for i, inner, start, length in automaton.occurrences(text.split(" ")):
-                    source, first, _ = passages[i]
-                    if (source, first + inner) != (doc, at + start):
-                        found.append((int(doc), int(at + start), int(at + start + length)))
+                found += [(int(doc), int(at + start), int(at + start + length)) for start, length in automaton.occurrences(text.split(" "), int(doc), int(at))]
         return pd.DataFrame(found, columns=["doc_id", "a", "b"]).astype("int64")
 
     return rows
