@@ -48,8 +48,15 @@ VIEWS = {
 }
 
 
+_current: dict[int, tuple[str, SparkSession]] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temp views over the driver's tables and the store's; nothing is read until a query runs."""
+    """Temp views over the driver's tables and the store's, made anew when a session turns to another folder."""
+    held = _current.get(id(spark))
+    if held and held[0] == sf_dir and held[1] is spark:
+        return
+    _current[id(spark)] = sf_dir, spark
     for table in TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     for name, sql in VIEWS.items():
