@@ -22,62 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.chunks import ChunkEncoder
 from tessella.llm.common import int_keyed, mix64, prepare, slices
+from tessella.llm.merging import NEVER, PairTable, byte_letters, merge_rounds
 
 # The split pattern of byte-level BPE vocabularies of this kind, white space spelt out.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 SOLID = SPACE.replace("[", "[^", 1)
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\t-\r \x85\xa0  -     　\p{{L}}\p{{N}}]+|{SPACE}+(?!{SOLID})|{SPACE}+"
 
-NEVER = np.int64(1) << 40
 #: Slots that remember tested pairs.
 PAIR_SLOTS = 1 << 20
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
-class PairTable:
-    """Rank and product of the merge of a pair, looked up in arrays: a table, and a second one without collisions for what collides in it."""
-
-    SLOTS = 1 << 20
-
-    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
-        keys = np.array([(a << 20) | b for a, b in pairs], np.int64)
-        values = np.array(list(pairs.values()), np.int64)
-        self.tables = []
-        factor = 0x9E3779B97F4A7C15
-        while len(keys) or len(self.tables) < 2:
-            factor = (factor * 6364136223846793005 + 1442695040888963407) % 2**64 | 1
-            slot = self._slot(keys, factor)
-            _, kept = np.unique(slot, return_index=True)
-            if self.tables and len(kept) < len(keys):
-                continue
-            held, ranks, made = np.full(self.SLOTS, -1, np.int64), np.full(self.SLOTS, NEVER), np.zeros(self.SLOTS, np.int64)
-            held[slot[kept]], ranks[slot[kept]], made[slot[kept]] = keys[kept], values[kept, 0], values[kept, 1]
-            self.tables.append((factor, held, ranks.astype(np.int64), made.astype(np.int32)))
-            keys, values = np.delete(keys, kept), np.delete(values, kept, axis=0)
-
-    def _slot(self, keys: np.ndarray, factor: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(factor)) >> np.uint64(44)).astype(np.int64)
-
-    def get(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = (a << 20) | b
-        slot = self._slot(key, self.tables[0][0])
-        _, held, ranks, made = self.tables[0]
-        hit = held[slot] == key
-        rank, product = np.where(hit, ranks[slot], NEVER), made[slot]
-        left = np.flatnonzero(~hit)
-        factor, held, ranks, made = self.tables[1]
-        slot = self._slot(key[left], factor)
-        hit = held[slot] == key[left]
-        rank[left[hit]], product[left[hit]] = ranks[slot[hit]], made[slot[hit]]
-        return rank, product
-
-
 class SpeculativeBPE:
     """Encoder and decoder from the JSON of a byte-level BPE tokenizer."""
 
@@ -137,45 +92,10 @@ class SpeculativeBPE:
         return ids
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
-        """``exact`` for many words at once: each round merges the pair of the lowest rank in every word."""
-        if not words:
-            return []
+        """``exact`` for many words at once."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ids = self.first[np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)]
-        owner = np.repeat(np.arange(len(words)), sizes)
-        done_ids, done_owner = [], []
-
-        def ranks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            after = np.minimum(at + 1, len(ids) - 1)
-            rank, made = self.merges.get(ids[at], ids[after])
-            rank[(owner[after] != owner[at]) | (after == at)] = NEVER
-            return rank, made
-
-        rank, made = ranks(np.arange(len(ids)))
-        while len(ids):
-            starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            lengths = np.diff(starts, append=len(ids))
-            low = np.minimum.reduceat(rank, starts)
-            more = np.repeat(low < NEVER, lengths)
-            if not more.all():
-                done_ids.append(ids[~more])
-                done_owner.append(owner[~more])
-                ids, owner, rank, made, lengths, low = ids[more], owner[more], rank[more], made[more], lengths[low < NEVER], low[low < NEVER]
-                if not len(ids):
-                    break
-            at = np.flatnonzero(rank == np.repeat(low, lengths))
-            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]  # of overlapping pairs the left ones
-            ids[at] = made[at]
-            stays = np.ones(len(ids), bool)
-            stays[at + 1] = False
-            ids, owner, rank, made = ids[stays], owner[stays], rank[stays], made[stays]
-            at -= np.arange(len(at))
-            touched = np.union1d(at, np.maximum(at - 1, 0))
-            rank[touched], made[touched] = ranks(touched)
-        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
-        order = np.argsort(owner, kind="stable")
-        listed, bounds = ids[order].tolist(), np.searchsorted(owner[order], np.arange(len(words) + 1)).tolist()
+        ids, bounds = merge_rounds(self.merges, self.first[np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)], sizes)
+        listed, bounds = ids.tolist(), bounds.tolist()
         return [listed[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def _test(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -10,12 +10,57 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
+from tessella.llm.merging import PairTable, byte_letters, merge_rounds
+
 #: Chunks remembered by each Python worker; at most as many characters in one that is.
 CHUNK_CACHE, LONGEST_KEPT = 600_000, 64
 
 _gap, _odd_gap = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
 
+# Texts of plain letters, which case folding maps one to one and composition leaves alone, and the split
+# pattern of word-end BPE vocabularies of this kind over such letters.
+PLAIN_TEXT = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*").fullmatch
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\n 0-9a-zß-öø-ÿ]+").findall
+
+
+class PlainWords:
+    """Ids of texts of plain letters by a lower-case byte-pair vocabulary with word ends; pieces are remembered with their ids."""
+
+    def __init__(self, spec: dict):
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, merge in enumerate(spec["model"]["merges"]):
+            a, b = merge if isinstance(merge, list) else merge.split(" ")
+            pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self.merges = PairTable(pairs)
+        letters = byte_letters()
+        self.inner, self.last = (np.array([vocab[c + tail] for c in letters], np.int64) for tail in ("", end))
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        raw = [p.encode() for p in pieces]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        letters = np.frombuffer(b"".join(raw), np.uint8)
+        ids, ends = self.inner[letters], np.cumsum(sizes) - 1
+        ids[ends] = self.last[letters[ends]]
+        ids, bounds = merge_rounds(self.merges, ids, sizes)
+        listed, bounds = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+        return {p: listed[a:b] for p, a, b in zip(pieces, bounds, bounds[1:])}
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [PLAIN_PIECES(t.lower()) for t in texts]
+        if len(self.known) > CHUNK_CACHE:
+            self.known.clear()
+        told = self._learn(list(set(chain.from_iterable(cut)).difference(self.known)))
+        long = {p: ids for p, ids in told.items() if len(p) > LONGEST_KEPT}
+        self.known.update(told)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), "<u4") for c in cut]
+        for p in long:
+            del self.known[p]
+        return out
+
+
 class ChunkEncoder:
     """Ids of texts, chunk by chunk.
 
@@ -23,10 +68,11 @@ class ChunkEncoder:
     for a byte-level BPE with the usual split pattern no token crosses these places, as a piece takes at most the last
     space of a run, and only before a character that is no space. Such a tokenizer (``keeps_space``) has that space at the
     head of a chunk; for one that drops white space it is left out. Texts with a special token's string go through whole.
+    ``plain``, if given, cuts texts of plain letters into pieces and has their ids by itself.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], specials: Sequence[str], keeps_space: bool):
-        self.encode, self.specials, self.head = encode, tuple(specials), " " * keeps_space
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], specials: Sequence[str], keeps_space: bool, plain: PlainWords | None = None):
+        self.encode, self.specials, self.head, self.plain = encode, tuple(specials), " " * keeps_space, plain
         self.known: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
 
@@ -35,6 +81,13 @@ class ChunkEncoder:
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if self.plain:
+            easy = [bool(t) and PLAIN_TEXT(t) is not None and not any(s in t for s in self.specials) for t in texts]
+            own, rest = iter(self.plain.texts([t for t, e in zip(texts, easy, strict=True) if e])), iter(self._texts([t for t, e in zip(texts, easy, strict=True) if not e]))
+            return [next(own if e else rest) for e in easy]
+        return self._texts(texts)
+
+    def _texts(self, texts: list[str | None]) -> list[np.ndarray]:
         cut: list[list[str]] = []
         for text in texts:
             if not text:
@@ -62,7 +115,17 @@ class ChunkEncoder:
         return [np.frombuffer(x, "<u4") for x in out]
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def _takes_plain_words(spec: dict) -> bool:
+    """Whether a tokenizer cuts, folds and merges as ``PlainWords`` does."""
+    steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = spec["pre_tokenizer"].get("pretokenizers", [])
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    split = bool(cuts) and cuts[0].get("pattern") == {"Regex": pattern} and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
+    model = spec["model"]
+    return steps == ["NFC", "Replace", "Lowercase"] and split and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and bool(model["end_of_word_suffix"]) and not (model["continuing_subword_prefix"] or model["dropout"] or model["ignore_merges"])
 
 
 def library_encoder(blob: str, name: str) -> ChunkEncoder:
@@ -72,11 +135,12 @@ def library_encoder(blob: str, name: str) -> ChunkEncoder:
         tokenizer.no_padding()
         tokenizer.no_truncation()
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        drops_space = json.loads(blob)["pre_tokenizer"]["type"] != "ByteLevel"
+        spec = json.loads(blob)
+        drops_space = spec["pre_tokenizer"]["type"] != "ByteLevel"
 
         def encode(chunks: list[str]) -> list[list[int]]:
             return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _encoders[name] = ChunkEncoder(encode, specials, not drops_space)
+        _encoders[name] = ChunkEncoder(encode, specials, not drops_space, PlainWords(spec) if _takes_plain_words(spec) else None)
     return _encoders[name]
 

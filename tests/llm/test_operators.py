@@ -313,3 +313,15 @@ def test_pipeline_stages(spark, tmp_path):
     clean = {r["doc_id"]: (r["text"], r["n_chars"], r["spans"]) for r in pii.redact(spark, cut).collect()}
     assert clean[300] == ("reach me [EMAIL]", 16, "x") and clean[0][0] == held[0]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "substring_dedup", "pii", "packing"]
+
+
+def test_plain_words_equal_the_library():
+    with open(WORD, encoding="utf-8") as f:
+        blob = f.read()
+    tokenizer = Tokenizer.from_str(blob)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    texts = ["it's They'LL ÀÉß's 12a3!?..  \n\n ab", "", "zzz<|endoftext|>q", "x×y Ÿ é ö a\tb", "'S'sé--'' 'd", "\x7f a\x85b  c", "a" * 300 + " aaaa", "ab" * 70]
+    encoder = chunks.library_encoder(blob, WORD)
+    assert encoder.plain is not None
+    assert [ids.tolist() for ids in encoder.texts([*texts, None])] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)] + [[]]
