@@ -6,8 +6,8 @@ hashed whole, and windows seen at least twice are confirmed with the place where
 each starts first. Neighbouring first places of a document form a passage. The
 passages are dealt to shards of bounded size; each shard compiles an
 Aho-Corasick automaton over blocks of half a window, and the stretches of all documents
-around the anchors of its passages stream through it. A found block is extended word by
-word, so that an occurrence is an equality of words, not of hashes.
+around the anchors of its passages stream through it. The windows around a found block are
+compared whole, so that an occurrence is an equality of words, not of hashes.
 """
 
 from __future__ import annotations
@@ -103,20 +103,23 @@ class PhraseAutomaton:
     """Passages of at least ``window`` words, and where their windows occur in a document.
 
     A window holds a whole block of half its length that starts at a multiple of that length in its passage, so blocks
-    find every window. Words are single characters in the automaton.
+    find every window. Around a found block the windows that can hold it are compared whole. Passages are runs of first
+    places, so a window is in one passage only and takes one comparison, however many passages share the block. Words
+    are single characters in the automaton.
     """
 
     def __init__(self, passages: list[tuple[int, int, list[str]]], window: int):
-        self.window, self.step, self.passages = window, window // 2, passages
+        self.window, self.step = window, window // 2
         self.letters: dict[str, str] = {}
-        self.coded = ["".join(self._letter(w) for w in words) for _, _, words in passages]
-        blocks: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, coded in enumerate(self.coded):
-            for at in range(0, len(coded) - self.step + 1, self.step):
-                blocks[coded[at : at + self.step]].append((i, at))
+        self.first: dict[str, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
-        for block, places in blocks.items():
-            self.automaton.add_word(block, places)
+        for doc, place, words in passages:
+            coded = "".join(map(self._letter, words))
+            for at in range(0, len(coded) - self.step + 1, self.step):
+                self.automaton.add_word(coded[at : at + self.step], True)
+            for at in range(len(coded) - window + 1):
+                own, seen = (doc, place + at), coded[at : at + window]
+                self.first[seen] = min(self.first.get(seen, own), own)
         self.automaton.make_automaton()
 
     def _letter(self, word: str) -> str:
@@ -126,50 +129,23 @@ class PhraseAutomaton:
         return self.letters[word]
 
     def occurrences(self, words: list[str], doc: int, first: int) -> list[tuple[int, int]]:
-        """(start, length) of stretches of the words, which start at word ``first`` of a document, that repeat a passage from elsewhere.
-
-        All windows in a passage are found; a block whose windows all lie in a stretch found before is passed over.
-        """
-        get, window, step = self.letters.get, self.window, self.step
+        """(start, length) of stretches of the words, which start at word ``first`` of a document, whose windows start earlier elsewhere."""
+        get, known, window, step = self.letters.get, self.first.get, self.window, self.step
         text = "".join([get(w, "\0") for w in words])
-        done: dict[tuple[int, int], int] = {}
-        out = []
-        low = high = 0
-        for end, places in self.automaton.iter(text):
-            start = end - step + 1
-            if low <= start - step and start + window <= high:
-                continue
-            for i, at in places:
-                key = i, start - at
-                source, place, _ = self.passages[i]
-                if done.get(key, -1) > end or source == doc and place + at == first + start:
-                    continue
-                coded = self.coded[i]
-                a = _common(coded[max(0, at - window) : at][::-1], text[max(0, start - window) : start][::-1])
-                b = step + _common(coded[at + step :], text[start + step : start + step + len(coded) - at])
-                done[key] = start + b
-                if a + b >= window:
-                    out.append((start - a, a + b))
-                    if start + b > high:
-                        low, high = start - a, start + b
-                        if low <= start - step and start + window <= high:
-                            break
-        return out
-
-
-def _common(x: str, y: str) -> int:
-    """Length of the common beginning."""
-    most = min(len(x), len(y))
-    if x[:most] == y[:most]:
-        return most
-    low, high = 0, most
-    while high - low > 1:
-        middle = (low + high) // 2
-        if x[low:middle] == y[low:middle]:
-            low = middle
-        else:
-            high = middle
-    return low
+        out: list[tuple[int, int]] = []
+        tested = begin = end = 0
+        for last, _ in self.automaton.iter(text):
+            start = last - step + 1
+            for at in range(max(tested, start - step + 1), min(start, len(text) - window) + 1):
+                place = known(text[at : at + window])
+                if place is not None and place < (doc, first + at):
+                    if at > end:
+                        out.append((begin, end - begin))
+                        begin = at
+                    end = at + window
+            tested = max(tested, start + 1)
+        out.append((begin, end - begin))
+        return [x for x in out if x[1]]
 
 
 def _fragments(window: int):
