@@ -104,6 +104,13 @@ def measurement_history(t: Tables) -> DataFrame:
     return t("measurements").where("annotation_id < 200").select("annotation_id", "name", F.row_number().over(w).alias("version"), "value")
 
 
+@query(f"SELECT annotation_id, name, CAST(k AS INTEGER) AS version, value FROM (SELECT *, row_number() OVER (PARTITION BY annotation_id, name ORDER BY {_HISTORY.replace('DESC', 'ASC')}) AS k FROM measurements) x")
+def measurement_versions(t: Tables) -> DataFrame:
+    """Every version of every annotation's measurements; measurement_history is a slice of it."""
+    w = Window.partitionBy("annotation_id", "name").orderBy(*[c.split()[0] for c in _HISTORY.split(", ")])
+    return t("measurements").select("annotation_id", "name", F.row_number().over(w).alias("version"), "value")
+
+
 @query("SELECT id, kind, slide_id, created_at FROM interactions ORDER BY created_at DESC, id DESC LIMIT 50")
 def recent_interactions(t: Tables) -> DataFrame:
     return R.recent(t("interactions")).select("id", "kind", "slide_id", "created_at")
