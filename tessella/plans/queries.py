@@ -297,6 +297,16 @@ def measure_box(t: Tables) -> DataFrame:
     return own.select("id", geometry.physical(w, mpp).alias("width_um"), F.sqrt(w * w + h * h).alias("diagonal_px"), geometry.patch_mpp(mpp, w, h, side, side).alias("patch_mpp"), geometry.magnification(mpp, F.lit(4)).alias("magnification"))
 
 
+@query("""SELECT r.id, w AS width_px, h AS height_px, w * s.mpp AS width_um, h * s.mpp AS height_um, sqrt(w * w + h * h) AS diagonal_px, sqrt(w * w + h * h) * s.mpp AS diagonal_um,
+    s.mpp * greatest(w / 256, h / 256) AS patch_mpp, 20.0 / (s.mpp * 4) AS magnification FROM (SELECT id, slide_id, abs(x1 - x0) AS w, abs(y1 - y0) AS h FROM rois) r LEFT JOIN slides s ON r.slide_id = s.id""")
+def measure_boxes(t: Tables) -> DataFrame:
+    """The measurement of every region; pixels only where its slide or the slide's resolution is unknown."""
+    own = t("rois").join(t("slides").select(F.col("id").alias("slide_id"), "mpp"), "slide_id", "left")
+    w, h, mpp = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")), F.col("mpp")
+    side, diagonal = F.lit(256), F.hypot(w, h)
+    return own.select("id", w.alias("width_px"), h.alias("height_px"), (w * mpp).alias("width_um"), (h * mpp).alias("height_um"), diagonal.alias("diagonal_px"), (diagonal * mpp).alias("diagonal_um"), geometry.patch_mpp(mpp, w, h, side, side).alias("patch_mpp"), geometry.magnification(mpp, F.lit(4)).alias("magnification"))
+
+
 @query("SELECT id, CAST(ceil(width / 4096.0) AS BIGINT) AS cols, CAST(ceil(height / 4096.0) AS BIGINT) AS n_rows, ceil(width / 4096.0) * 4096.0 / width AS cover_x FROM slides")
 def grid_shape(t: Tables) -> DataFrame:
     cols, rows = geometry.grid_shape(F.col("width"), F.col("height"), 256, 16)

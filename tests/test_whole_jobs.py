@@ -1,5 +1,6 @@
 """Queries over whole tables: every row takes part, against expectations worked out apart from their SQL."""
 
+import math
 from collections import Counter
 from pathlib import Path
 
@@ -20,3 +21,16 @@ def test_every_measurement_has_a_version(spark):
     assert Counter((r["annotation_id"], r["name"]) for r in got) == want
     versions = {(r["annotation_id"], r["name"], r["version"]) for r in got}
     assert versions == {(*k, i) for k, n in want.items() for i in range(1, n + 1)}
+
+
+def test_every_region_is_measured(spark):
+    got = {r["id"]: r for r in QUERIES["measure_boxes"](spark, str(DATA)).collect()}
+    n_slides = len(table("supplier"))
+    mpp = {r["s_suppkey"]: None if r["s_suppkey"] % 5 == 4 else 0.25 * (1 + r["s_suppkey"] % 3) for r in table("supplier")}
+    orders = table("orders")
+    assert len(got) == len(orders) and {mpp.get(r["o_custkey"] % n_slides) for r in orders} >= {None, 0.25}
+    for r in orders:
+        w, h, m, own = 50 + r["o_custkey"] % 450, 50 + r["o_orderkey"] % 300, mpp.get(r["o_custkey"] % n_slides), got[r["o_orderkey"]]
+        assert (own["width_px"], own["height_px"]) == (w, h)
+        want = (None,) * 3 if m is None else (w * m, h * m, math.hypot(w, h) * m)
+        assert all(a == b if b is None else math.isclose(a, b) for a, b in zip((own["width_um"], own["height_um"], own["diagonal_um"]), want, strict=True))
