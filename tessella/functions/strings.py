@@ -44,6 +44,16 @@ def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.bround(100 * done / total).cast("int")))).otherwise(0)
 
 
+def split_ranges(total: Column, workers: Column) -> Column:
+    """array<struct<first,last>>: 0 to total - 1 in one inclusive range a worker (1 to 16, no more than bytes), extra bytes to the leading ranges; empty without a positive total."""
+    total = total.cast("long")
+    n = F.greatest(F.lit(1).cast("long"), F.least(F.lit(16), workers, total))
+    base, extra = F.call_function("div", total, n), total % n
+    first = lambda i: i * base + F.least(i, extra)
+    ranges = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(first(i).alias("first"), (first(i + 1) - 1).alias("last")))
+    return F.when(total > 0, ranges).otherwise(F.slice(F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))), 1, 0))
+
+
 def iso(stamp: Column) -> Column:
     """ISO 8601 in UTC."""
     return F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))

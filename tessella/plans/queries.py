@@ -395,6 +395,16 @@ def byte_ranges(t: Tables) -> DataFrame:
     return own.select("i", (F.col("i") * 1000).cast("long").alias("first"), (F.least((F.col("i") + 1) * 1000, F.col("size")) - 1).cast("long").alias("last"), "file_id")
 
 
+_WORKERS = 8
+
+
+@query(f"""SELECT file_id, i, i * base + least(i, extra) AS first, i * base + least(i, extra) + base + CASE WHEN i < extra THEN 1 ELSE 0 END - 1 AS last FROM (SELECT file_id, n, file_size // n AS base, file_size % n AS extra FROM
+    (SELECT file_id, file_size, least({_WORKERS}, file_size) AS n FROM files WHERE file_size > 0) s) f JOIN (SELECT CAST(range AS BIGINT) AS i FROM range({_WORKERS})) r ON i < n""")
+def file_byte_ranges(t: Tables) -> DataFrame:
+    """Every file's own size split among the workers."""
+    return t("files").select("file_id", F.posexplode(strings.split_ranges(F.col("file_size"), F.lit(_WORKERS))).alias("i", "r")).select("file_id", F.col("i").cast("long").alias("i"), "r.first", "r.last")
+
+
 @query("SELECT id, CASE WHEN w <= 100 THEN 0 WHEN w <= 200 THEN 1 WHEN w <= 400 THEN 2 ELSE 3 END AS level FROM (SELECT id, x1 - x0 AS w FROM rois) x")
 def pyramid_level(t: Tables) -> DataFrame:
     w = F.col("x1") - F.col("x0")

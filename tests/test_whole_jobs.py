@@ -5,7 +5,9 @@ from collections import Counter
 from pathlib import Path
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from tessella.functions import strings
 from tessella.plans.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -34,3 +36,23 @@ def test_every_region_is_measured(spark):
         assert (own["width_px"], own["height_px"]) == (w, h)
         want = (None,) * 3 if m is None else (w * m, h * m, math.hypot(w, h) * m)
         assert all(a == b if b is None else math.isclose(a, b) for a, b in zip((own["width_um"], own["height_um"], own["diagonal_um"]), want, strict=True))
+
+
+def split(total, workers):
+    n = max(1, min(workers, 16, total))
+    sizes = [total // n + (i < total % n) for i in range(n)] if total > 0 else []
+    return [(sum(sizes[:i]), sum(sizes[: i + 1]) - 1) for i in range(len(sizes))]
+
+
+def test_ranges_of_a_file(spark):
+    cases = [(10, 4), (3, 8), (1, 1), (0, 4), (-5, 4), (100, 0), (100, 40), (2**53 + 3, 16)]
+    assert split(10, 4) == [(0, 2), (3, 5), (6, 7), (8, 9)]
+    df = spark.createDataFrame(cases, "total long, workers int").select("total", "workers", strings.split_ranges(F.col("total"), F.col("workers")).alias("r"))
+    for r in df.collect():
+        assert [tuple(x) for x in r["r"]] == split(r["total"], r["workers"])
+
+
+def test_every_file_is_split_by_its_own_size(spark):
+    got = sorted(tuple(r) for r in QUERIES["file_byte_ranges"](spark, str(DATA)).collect())
+    held = {r["c_custkey"] for r in table("customer")}
+    assert got == sorted((r["o_orderkey"], i, *x) for r in table("orders") if r["o_custkey"] in held for i, x in enumerate(split(math.floor(r["o_totalprice"]), 8)))
