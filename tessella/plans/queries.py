@@ -361,6 +361,11 @@ def feature_stats_by_label(t: Tables) -> DataFrame:
     return t("embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("dim", "v")).groupBy("label", "dim").agg(F.round(F.avg("v"), 5).alias("mean_v"), F.round(F.stddev_pop("v"), 5).alias("sd_v"))
 
 
+@query("SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 5) AS mean_v, round(stddev_pop(v), 5) AS sd_v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) x GROUP BY label, dim")
+def feature_stats_all_dims(t: Tables) -> DataFrame:
+    return t("embeddings").select("label", F.posexplode("embedding").alias("dim", "v")).groupBy("label", "dim").agg(F.round(F.avg("v"), 5).alias("mean_v"), F.round(F.stddev_pop("v"), 5).alias("sd_v"))
+
+
 @query("SELECT session_id, count(*) AS n, count_if(before IS NULL OR abs(value - before) > 0.5 * abs(before)) AS changes FROM (SELECT *, lag(value) OVER (PARTITION BY session_id ORDER BY created_at, id) AS before FROM interactions) x GROUP BY session_id")
 def viewport_changes(t: Tables) -> DataFrame:
     own = t("interactions")

@@ -1,6 +1,7 @@
 """Queries over whole tables: every row takes part, against expectations worked out apart from their SQL."""
 
 import math
+import statistics
 from collections import Counter
 from pathlib import Path
 
@@ -56,3 +57,14 @@ def test_every_file_is_split_by_its_own_size(spark):
     got = sorted(tuple(r) for r in QUERIES["file_byte_ranges"](spark, str(DATA)).collect())
     held = {r["c_custkey"] for r in table("customer")}
     assert got == sorted((r["o_orderkey"], i, *x) for r in table("orders") if r["o_custkey"] in held for i, x in enumerate(split(math.floor(r["o_totalprice"]), 8)))
+
+
+def test_statistics_of_every_dimension(spark):
+    values = {}
+    for r in table("embeddings"):
+        for dim, v in enumerate(r["embedding"]):
+            values.setdefault((r["label"], dim), []).append(v)
+    got = {(r["label"], r["dim"]): r for r in QUERIES["feature_stats_all_dims"](spark, str(DATA)).collect()}
+    assert got.keys() == values.keys() and max(d for _, d in got) > 8
+    for k, own in values.items():
+        assert abs(got[k]["mean_v"] - statistics.fmean(own)) < 1e-5 and abs(got[k]["sd_v"] - statistics.pstdev(own)) < 1e-5
