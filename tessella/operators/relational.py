@@ -84,3 +84,17 @@ def changed(rows: DataFrame, session: str, order: Sequence[str], value: str, rel
     """Rows whose value differs from the one before in the session by more than a share; the first always counts."""
     before = F.lag(value).over(Window.partitionBy(session).orderBy(*order))
     return rows.withColumn("before", before).where(F.col("before").isNull() | (F.abs(F.col(value) - F.col("before")) > relative * F.abs(F.col("before"))))
+
+
+def viewport_changed(rows: DataFrame, session: str, order: Sequence[str], center_px: float = 0.5, zoom: float = 0.01) -> DataFrame:
+    """Each viewport (cx, cy, ds, width, height) with ``changed``: against the one before in the session its size differs, its centre moved by center_px at the new downsample, or its zoom by a share.
+
+    The first of a session always counts; a downsample that isn't positive (the new one) or is 0 (the old one) stands for 1.
+    """
+    old = F.lag(F.struct("cx", "cy", "ds", "width", "height")).over(Window.partitionBy(session).orderBy(*order))
+    ds = F.when(F.col("ds") > 0, F.col("ds")).otherwise(1.0)
+    old_ds = F.when(F.col("_old.ds") != 0, F.col("_old.ds")).otherwise(1.0)
+    resized = (F.col("width") != F.col("_old.width")) | (F.col("height") != F.col("_old.height"))
+    moved = F.hypot(F.col("cx") - F.col("_old.cx"), F.col("cy") - F.col("_old.cy")) / ds >= center_px
+    changed = F.when(F.col("_old").isNull(), True).otherwise(resized | moved | (F.abs(ds / old_ds - 1.0) >= zoom))
+    return rows.withColumn("_old", old).withColumn("changed", changed).drop("_old")

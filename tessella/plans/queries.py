@@ -373,6 +373,13 @@ def viewport_changes(t: Tables) -> DataFrame:
     return own.groupBy("session_id").agg(F.count("*").alias("n")).join(moved, "session_id").select("session_id", "n", "changes")
 
 
+@query("""SELECT session_id, count(*) AS n, count_if(old_ds IS NULL OR width <> old_width OR height <> old_height OR sqrt((cx - old_cx) * (cx - old_cx) + (cy - old_cy) * (cy - old_cy)) / ds >= 0.5 OR abs(ds / old_ds - 1.0) >= 0.01) AS changes
+    FROM (SELECT *, lag(cx) OVER w AS old_cx, lag(cy) OVER w AS old_cy, lag(ds) OVER w AS old_ds, lag(width) OVER w AS old_width, lag(height) OVER w AS old_height FROM viewports WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)) x GROUP BY session_id""")
+def viewport_moves(t: Tables) -> DataFrame:
+    marked = R.viewport_changed(t("viewports"), "session_id", ["created_at", "id"])
+    return marked.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if("changed").alias("changes"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', created_at) AS hour, kind, count(*) AS n FROM interactions GROUP BY 1, 2")
 def interactions_by_hour(t: Tables) -> DataFrame:
     return t("interactions").groupBy(F.window("created_at", "1 hour").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "kind", "n")

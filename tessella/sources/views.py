@@ -33,6 +33,9 @@ VIEWS = {
                l_extendedprice AS price, l_quantity AS quantity, l_shipdate AS created_at FROM lineitem""",
     "interactions": """
         SELECT event_id AS id, event_type AS kind, user_id % (SELECT count(*) FROM supplier) AS slide_id, event_id * 2 AS roi_id, user_id AS session_id, props AS payload, ts AS created_at, value FROM events""",
+    "viewports": """
+        SELECT event_id AS id, user_id AS session_id, ts AS created_at, CAST(1000 + 40 * floor(event_id / 1000) + 0.25 * (event_id % 4) AS DOUBLE) AS cx, CAST(800 + 0.5 * (event_id % 3) AS DOUBLE) AS cy,
+               CAST(2 + 0.0078125 * (event_id % 5) + 0.5 * (CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS ds, 400 + (CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) AS width, 300 AS height FROM events""",
     "files": """
         SELECT o_orderkey AS file_id, concat('TCGA-', CAST(o_orderkey AS VARCHAR(20)), '.svs') AS file_name, CAST(floor(o_totalprice) AS BIGINT) AS file_size,
                CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS sample_id, o_custkey AS case_id,

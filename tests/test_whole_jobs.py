@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tessella.functions import strings
+from tessella.operators import relational as R
 from tessella.plans.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -68,3 +69,15 @@ def test_statistics_of_every_dimension(spark):
     assert got.keys() == values.keys() and max(d for _, d in got) > 8
     for k, own in values.items():
         assert abs(got[k]["mean_v"] - statistics.fmean(own)) < 1e-5 and abs(got[k]["sd_v"] - statistics.pstdev(own)) < 1e-5
+
+
+def test_viewports_change_by_centre_zoom_or_size(spark):
+    steps = [(1000.0, 800.0, 2.0, 400, True), (1000.5, 800.0, 2.005, 400, False), (1010.0, 800.0, 2.0, 400, True), (1010.0, 800.0, 2.5, 400, True), (1010.0, 800.0, 2.5, 401, True), (1011.25, 800.0, 2.5, 401, True), (1012.0, 800.0, 2.5, 401, False), (1012.0, 800.0, 2.53, 401, True), (1012.0, 800.0, 0.0, 401, True), (1012.0, 800.0, 1.0, 401, False)]
+    df = spark.createDataFrame([(1, i, x, y, ds, w, 300, want) for i, (x, y, ds, w, want) in enumerate(steps)] + [(2, 99, 0.0, 0.0, 1.0, 1, 1, True)], "s int, id int, cx double, cy double, ds double, width int, height int, want boolean")
+    assert all(r["changed"] == r["want"] for r in R.viewport_changed(df, "s", ["id"]).collect())
+
+
+def test_viewport_moves_of_every_session(spark):
+    got = QUERIES["viewport_moves"](spark, str(DATA)).collect()
+    assert {r["session_id"]: r["n"] for r in got} == Counter(r["user_id"] for r in table("events"))
+    assert 0 < sum(r["changes"] for r in got) < sum(r["n"] for r in got)
