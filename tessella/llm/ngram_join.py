@@ -209,7 +209,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: in
     Words are lower-cased by A-Z only. A document with fewer than k words has its whole sequence as one shingle. Null
     and empty texts, and texts without a word, have an empty set, link with nothing and are their own component.
     component_id is the smallest doc_id reachable by links. Repeated rows each get a row; a null doc_id keeps its row
-    and is never a component's name unless no other member has an id. Further columns of docs are ignored.
+    and is never a component's name unless no other member has an id. A set that only
+    rows with a null doc_id have is not verified: none of its links counts, it joins no group, and documents that are linked only through it stay apart. Further columns of docs are ignored.
     """
     prepare(spark)
     docs = int_keyed(docs, "doc_id", "text")
@@ -255,6 +256,6 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: in
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; of rows that repeat a doc_id one stays."""
+    """The documents without those whose component has a smaller doc_id; of rows that repeat a doc_id one stays, of rows with a null doc_id all do."""
     kept = similar_groups(spark, docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
