@@ -18,17 +18,22 @@ CHUNK_CACHE, LONGEST_KEPT = 600_000, 64
 _gap, _odd_gap = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
 
-# Texts of plain letters, which case folding maps one to one and composition leaves alone, and the split
-# pattern of word-end BPE vocabularies of this kind over such letters.
+# Texts of plain letters, which case folding maps one to one and composition leaves alone, and over such
+# letters the split patterns of word-end BPE vocabularies and of byte-level ones of this kind.
 PLAIN_TEXT = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*").fullmatch
 PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\n 0-9a-zß-öø-ÿ]+").findall
+SPACED_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\n 0-9A-Za-zÀ-ÖØ-öø-ÿ]+|[\n ]+(?![^\n ])|[\n ]+").findall
 
 
 class PlainWords:
-    """Ids of texts of plain letters by a lower-case byte-pair vocabulary with word ends; pieces are remembered with their ids."""
+    """Ids of texts of plain letters by a byte-pair vocabulary; pieces are remembered with their ids.
+
+    The vocabulary is a lower-case one with word ends, or a byte-level one without, whose pieces keep the space before them.
+    """
 
     def __init__(self, spec: dict):
-        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
+        self.pieces, self.lowers = (PLAIN_PIECES, True) if end else (SPACED_PIECES, False)
         pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -49,7 +54,7 @@ class PlainWords:
         return {p: listed[a:b] for p, a, b in zip(pieces, bounds, bounds[1:])}
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [PLAIN_PIECES(t.lower()) for t in texts]
+        cut = [self.pieces(t.lower() if self.lowers else t) for t in texts]
         if len(self.known) > CHUNK_CACHE:
             self.known.clear()
         told = self._learn(list(set(chain.from_iterable(cut)).difference(self.known)))
@@ -120,12 +125,16 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def _takes_plain_words(spec: dict) -> bool:
     """Whether a tokenizer cuts, folds and merges as ``PlainWords`` does."""
+    model = spec["model"]
+    plain = not (model["continuing_subword_prefix"] or model["dropout"] or model["ignore_merges"])
+    before = spec["pre_tokenizer"]
+    if before["type"] == "ByteLevel":
+        return plain and not (spec["normalizer"] or before["add_prefix_space"] or model["end_of_word_suffix"]) and before.get("use_regex", True)
     steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
-    cuts = spec["pre_tokenizer"].get("pretokenizers", [])
+    cuts = before.get("pretokenizers", [])
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     split = bool(cuts) and cuts[0].get("pattern") == {"Regex": pattern} and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"
-    model = spec["model"]
-    return steps == ["NFC", "Replace", "Lowercase"] and split and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and bool(model["end_of_word_suffix"]) and not (model["continuing_subword_prefix"] or model["dropout"] or model["ignore_merges"])
+    return plain and steps == ["NFC", "Replace", "Lowercase"] and split and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and bool(model["end_of_word_suffix"])
 
 
 def library_encoder(blob: str, name: str) -> ChunkEncoder:

@@ -2,9 +2,9 @@
 
 Each block starts from nothing. Three models predict the next id: order 2 and order 1
 name the id that followed the same two or one ids last in the block, order 0 is a
-distribution over all ids, adaptive over classes of ids and even within a class. Their
-mixture, weighted by how often each named id was right lately in a like state, is a
-proper distribution, and one step of a 64-bit range coder codes an id by it. Many
+distribution over all ids, adaptive over classes of ids and even within a class. They are
+mixed by weights that follow how often each named id was right lately in a like state, and
+one step of a range coder of 62 bits codes an id by the mixture. Many
 blocks are coded in lockstep, one array element each.
 
 A file is a set of segments; a segment holds whole documents in ascending doc_id, their
@@ -29,183 +29,218 @@ from pyspark.sql.window import Window
 from tessella.llm.chunks import library_encoder
 from tessella.llm.common import Stash, int_keyed, prepare, slices
 
-MAGIC = b"TSM1"
+MAGIC = b"TSM2"
 #: Ids of a block, blocks coded together, and ids of a segment (but for one long document).
 BLOCK, LANES = 2048, 2048
 SEGMENT = BLOCK * LANES
-#: Slots for contexts of a block.
-SLOTS = 2048
-#: Bits of the mixture's and of order 0's total.
-TOTAL_BITS, ZERO_BITS = 24, 20
-#: Steps after which the shares of order 0 are renewed.
-RENEW = 32
-MOST_IDS = 1 << 16
+#: Slots for the contexts of a block by order 1 and order 2.
+SLOTS_ONE, SLOTS_TWO = 1024, 1024
+#: Bits of the mixture's total, of order 1's probability and of order 0's shares.
+TOTAL_BITS, ODDS_BITS, ZERO_BITS = 27, 16, 10
+TOTAL = 1 << TOTAL_BITS
+#: Least and greatest probability of order 2, as parts of the total, and of order 1 where order 2 fails; how fast they follow hits.
+LEAST_TWO, MOST_TWO, LEAST_ONE, MOST_ONE, PACE = TOTAL // 300, TOTAL // 100 * 93, 200, 48_000, 4
+#: Steps after which the shares of order 0 are renewed, besides those of EARLY; weight of an id seen.
+RENEW, EARLY, SEEN = 64, (16, 32), 24
+#: Bits of an id for which classes are made, at least and at most.
+LEAST_BITS, MOST_BITS = 16, 20
+#: Bits of a coded word: a span below 2**WORD_BITS takes one.
+WORD_BITS = 31
+_WORD = (1 << WORD_BITS) - 1
+_HASH, _LEAST_TWO, _MOST_TWO, _LEAST_ONE, _MOST_ONE = map(np.int32, (40503, LEAST_TWO, MOST_TWO, LEAST_ONE, MOST_ONE))
 
 
-def id_classes() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id and first id of each class: widths grow with the id, as ids of such vocabularies are by frequency."""
-    kind = np.floor(6 * np.log2(np.arange(MOST_IDS) / 64 + 1)).astype(np.int64)
-    kind = np.unique(kind, return_inverse=True)[1]
-    return kind, np.concatenate([np.flatnonzero(np.diff(kind, prepend=-1)), [MOST_IDS]])
+class Classes:
+    """Classes of ids below 2**bits; widths grow with the id, as ids of such vocabularies are by frequency."""
 
+    def __init__(self, bits: int):
+        most = 1 << bits
+        kind = np.floor(6 * np.log2(np.arange(most) / 64 + 1)).astype(np.int64)
+        self.kind = np.unique(kind, return_inverse=True)[1]
+        self.first = np.flatnonzero(np.diff(self.kind, prepend=-1))
+        self.width = np.diff(self.first, append=most)
+        self.count = len(self.width)
+        #: So that each id of a class has a part of its own even where order 0 has the least part of the total.
+        smallest = (TOTAL - MOST_TWO) * ((1 << ODDS_BITS) - MOST_ONE) >> ODDS_BITS
+        self.least = 1 + self.width // (smallest >> ZERO_BITS)
+        self.share_of_one = 1 / self.width
 
-KIND, FIRST = id_classes()
-WIDTH = np.diff(FIRST)
 
+_classes: dict[int, Classes] = {}
+
+
+def classes_for(bits: int) -> Classes:
+    if bits not in _classes:
+        _classes[bits] = Classes(bits)
+    return _classes[bits]
 
-class Mixture:
-    """The models of a number of blocks, all at the same step."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.one, self.two = np.full(lanes * SLOTS, -1, np.int32), np.full(lanes * SLOTS, -1, np.int32)
-        self.odds = np.tile(np.array([[0, 0], [0, 12000], [12000, 8000], [40000, 0]], np.int64), (lanes, 1))  # state: hits of order 2, of order 1, in 65536ths
-        self.counts = np.tile(np.maximum(1, np.sqrt(WIDTH).astype(np.int64)), (lanes, 1))
-        self.last = self.before = np.zeros(lanes, np.int64)
-        self.step = 0
-
-    def predict(self) -> None:
-        if self.step % RENEW == 0:
-            spare = (1 << ZERO_BITS) - int(WIDTH.sum())
-            shares = self.counts * spare // self.counts.sum(axis=1, keepdims=True) + WIDTH
-            shares[:, 0] += (1 << ZERO_BITS) - shares.sum(axis=1)
-            self.shares = shares
-            self.lows = np.cumsum(shares, axis=1) - shares
-            self.flat_shares, self.flat_lows = self.shares.ravel(), self.lows.ravel()
-        self.at_one = self.lane * SLOTS + ((self.last * 40503) >> 4 & (SLOTS - 1))
-        self.at_two = self.lane * SLOTS + ((self.last * 40503 + self.before * 60493) >> 5 & (SLOTS - 1))
-        p, q = self.two[self.at_two].astype(np.int64), self.one[self.at_one].astype(np.int64)
-        state = np.where(q < 0, 0, np.where(p < 0, 1, np.where(p == q, 3, 2)))
-        self.state = self.lane * 4 + state
-        odds = self.odds[self.state]
-        p = np.where(state == 1, q, p)  # the id with the first weight
-        self.named, self.other = np.where(state == 0, 0, p), np.where(state == 2, q, 0)
-        self.weight_named = np.where(state == 0, 0, np.where(state == 1, odds[:, 1], odds[:, 0])) << 7
-        self.weight_other = np.where(state == 2, odds[:, 1] * (65536 - odds[:, 0]) >> 16, 0) << 7
-        self.zero = (1 << TOTAL_BITS) - self.weight_named - self.weight_other
-
-    def zero_range(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From and to of ids by order 0 alone, in its part of the total."""
-        kind = KIND[ids]
-        cell = self.lane * len(WIDTH) + kind
-        share, width, low, k = self.flat_shares[cell], WIDTH[kind], self.flat_lows[cell], ids - FIRST[kind]
-        return (low + k * share // width) * self.zero >> ZERO_BITS, (low + (k + 1) * share // width) * self.zero >> ZERO_BITS
-
-    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From and to of ids in the mixture."""
-        a, b = self.zero_range(ids)
-        a = a + self.weight_named * (self.named < ids) + self.weight_other * (self.other < ids)
-        b = b + self.weight_named * (self.named <= ids) + self.weight_other * (self.other <= ids)
-        return a, b
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids whose span holds the values."""
-        swap = self.other < self.named
-        x, y = np.where(swap, self.other, self.named), np.where(swap, self.named, self.other)
-        wx, wy = np.where(swap, self.weight_other, self.weight_named), np.where(swap, self.weight_named, self.weight_other)
-        ax, bx = self.zero_range(x)
-        ay, by = self.zero_range(y)
-        same = x == y
-        bx, wx, wy = np.where(same, by, bx), np.where(same, wx + wy, wx), np.where(same, 0, wy)
-        past_x, past_y = value >= bx + wx, ~same & (value >= by + wx + wy)
-        on_x = (value >= ax) & ~past_x
-        on_y = ~same & (value >= ay + wx) & ~past_y & past_x
-        rest = value - wx * past_x - wy * past_y
-        unit = (((rest + 1) << ZERO_BITS) - 1) // self.zero
-        kind = np.zeros(len(unit), np.int64)
-        for bit in (32, 16, 8, 4, 2, 1):
-            probe = kind + bit
-            inside = probe < len(WIDTH)
-            cell = self.lane * len(WIDTH) + np.where(inside, probe, 0)
-            kind = np.where(inside & (self.flat_lows[cell] <= unit), probe, kind)
-        cell = self.lane * len(WIDTH) + kind
-        k = ((unit - self.flat_lows[cell] + 1) * WIDTH[kind] - 1) // self.flat_shares[cell]
-        return np.where(on_x, x, np.where(on_y, y, FIRST[kind] + k))
-
-    def learn(self, ids: np.ndarray) -> None:
-        odds = self.odds[self.state]
-        single = self.state % 4 == 1
-        hit_named, hit_other = ids == self.named, ids == self.other
-        first = odds[:, 0] + np.where(single, 0, np.where(hit_named, 65000 - odds[:, 0], -odds[:, 0]) >> 4)
-        second = odds[:, 1] + (np.where(np.where(single, hit_named, hit_other), 65000 - odds[:, 1], -odds[:, 1]) >> 4)
-        self.odds[self.state, 0], self.odds[self.state, 1] = first, second
-        self.counts.ravel()[self.lane * len(WIDTH) + KIND[ids]] += 24
-        self.one[self.at_one] = self.two[self.at_two] = ids
-        self.before, self.last = self.last, ids
-        self.step += 1
 
+_NONE = np.int32(0)
 
-assert len(WIDTH) <= 64
 
-_WORD, _U32 = np.uint64(32), np.uint64(0xFFFFFFFF)
+class Mixture:
+    """The models of a number of blocks, all at the same step.
 
+    A slot of order 1 or 2 holds the id that came last in its context, in its upper bits, and whether it is the first one
+    or came twice in a row. For each such state of both and by whether they name the same id, a block learns how often
+    order 2 is right, and order 1 where order 2 isn't; these are the weights of the mixture. What they leave goes to
+    order 0. Arrays are of 32 bits where they can, as that is what the time goes by.
+    """
 
-def _renew(low: np.ndarray, span: np.ndarray, small: np.ndarray) -> None:
-    """Drops the leading word of these lanes; a span across two leading words is cut down to the first."""
-    lo, sp = low[small], span[small]
-    across = (lo >> _WORD) != ((lo + (sp - np.uint64(1))) >> _WORD)
-    sp = np.where(across, np.uint64(1 << 32) - (lo & _U32), sp)
-    low[small], span[small] = lo << _WORD, sp << _WORD
+    def __init__(self, lanes: int, classes: Classes):
+        lane = np.arange(lanes)
+        self.classes, self.lanes = classes, lanes
+        self.base_one, self.base_two, self.base_zero = lane * SLOTS_ONE, lane * SLOTS_TWO, lane * classes.count
+        self.base_odds, self.base_table = lane * 32, lane << ZERO_BITS
+        self.one, self.two = np.zeros(lanes * SLOTS_ONE, np.int32), np.zeros(lanes * SLOTS_TWO, np.int32)
+        state = np.arange(32)
+        self.odds_two = np.tile((TOTAL // 100 * np.array([0, 25, 0, 60])[state >> 3] + LEAST_TWO).astype(np.int32), lanes)
+        self.odds_one = np.tile(np.where(state & 1, 0, np.array([0, 6000, 0, 20000])[state >> 1 & 3] + LEAST_ONE).astype(np.int32), lanes)
+        self.counts = np.tile(np.maximum(1, np.sqrt(classes.width).astype(np.int64)), lanes)
+        self.last = self.hashed = np.zeros(lanes, np.int32)
+        self.step, self.kinds = 0, []
+
+    def _renew(self) -> None:
+        """Shares of order 0 from the classes seen so far."""
+        c = self.classes
+        if self.kinds:
+            self.counts += SEEN * np.bincount(np.concatenate(self.kinds), minlength=len(self.counts))
+            self.kinds = []
+        counts = self.counts.reshape(self.lanes, c.count)
+        spare = (1 << ZERO_BITS) - int(c.least.sum())
+        shares = (counts * (spare / counts.sum(axis=1, keepdims=True))).astype(np.int64) + c.least
+        shares[:, 0] += (1 << ZERO_BITS) - shares.sum(axis=1)
+        self.shares, self.lows = shares.ravel(), (np.cumsum(shares, axis=1) - shares).astype(np.int32).ravel()
+        self.parts = (shares * c.share_of_one).ravel()
+
+    def table(self) -> np.ndarray:
+        """The class of each share of order 0, block by block."""
+        return np.repeat(np.tile(np.arange(self.classes.count, dtype=np.uint8), self.lanes), self.shares)
+
+    def predict(self) -> bool:
+        """Whether the shares of order 0 are new."""
+        new = self.step % RENEW == 0 or self.step in EARLY
+        if new:
+            self._renew()
+        hashed = self.last * _HASH
+        self.at_one = (hashed >> 6 & (SLOTS_ONE - 1)) + self.base_one
+        self.at_two = (hashed + self.hashed * 5 >> 5 & (SLOTS_TWO - 1)) + self.base_two
+        self.hashed = hashed
+        self.held_one, self.held_two = self.one.take(self.at_one), self.two.take(self.at_two)
+        self.by_one, self.by_two = self.held_one >> 5, self.held_two >> 5
+        self.state = (self.held_two & 24) + (self.held_one & 6) + (self.by_one == self.by_two) + self.base_odds
+        self.weight_two, self.p_one = self.odds_two.take(self.state), self.odds_one.take(self.state)
+        self.both = ((TOTAL - self.weight_two >> 12) * self.p_one >> ODDS_BITS - 12) + self.weight_two
+        self.unit = TOTAL - self.both >> ZERO_BITS
+        return new
+
+    def order_zero(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the class begins in the total, and the part of one id of it."""
+        cell = self.base_zero + kind
+        return self.lows.take(cell) * self.unit + self.both, (self.parts.take(cell) * self.unit).astype(np.int32)
+
+    def learn(self, ids: np.ndarray, kind: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> None:
+        self.odds_two[self.state] = self.weight_two + (np.where(hit_two, _MOST_TWO, _LEAST_TWO) - self.weight_two >> PACE)
+        self.odds_one[self.state] = self.p_one + (np.where(hit_one > hit_two, _MOST_ONE, _LEAST_ONE) - self.p_one >> PACE)
+        seen = ids << 5
+        self.two[self.at_two] = np.where(hit_two, self.held_two | 16, seen | 8)
+        self.one[self.at_one] = np.where(hit_one, self.held_one | 4, seen | 2)
+        self.kinds.append(kind + self.base_zero)
+        self.last = ids
+        self.step += 1
 
 
-def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """(coded blocks, CRC-32 of each block's ids); every block has BLOCK ids, the last one what is left."""
-    lanes = -(-len(ids) // BLOCK)
-    padded = np.zeros(lanes * BLOCK, np.int64)
+def _columns(ids: np.ndarray, lanes: int) -> np.ndarray:
+    """Ids of blocks with a row for each step."""
+    padded = np.zeros(lanes * BLOCK, np.int32)
     padded[: len(ids)] = ids
-    by_step = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    steps = min(BLOCK, len(ids))
-    model = Mixture(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, used = np.zeros((lanes, BLOCK + 2), np.uint32), np.zeros(lanes, np.int64)
+    return np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+
+
+def encode_blocks(ids: np.ndarray, bits: int = LEAST_BITS) -> tuple[list[bytes], np.ndarray]:
+    """(coded blocks, CRC-32 of each block's ids) of ids below 2**bits; every block has BLOCK ids, the last one what is left.
+
+    Words may run over by a carry while coding; carries are settled at the end, from the last word to the first.
+    """
+    lanes, classes = -(-len(ids) // BLOCK), classes_for(bits)
+    by_step, steps = _columns(ids, lanes), min(BLOCK, len(ids))
+    kinds = classes.kind[by_step]
+    inside = (by_step - classes.first[kinds]).astype(np.int32)
+    model = Mixture(lanes, classes)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << 2 * WORD_BITS) - 1, np.int64)
+    room = BLOCK + 4
+    words, used, row = np.zeros(lanes * room, np.int64), np.zeros(lanes, np.int64), np.arange(lanes) * room
     for step in range(steps):
-        own = by_step[step]
+        own, kind = by_step[step], kinds[step]
         model.predict()
-        a, b = model.span(own)
-        unit = span >> np.uint64(TOTAL_BITS)
-        low += unit * a.astype(np.uint64)
-        span = unit * (b - a).astype(np.uint64)
-        small = np.flatnonzero(span < np.uint64(1 << 32))
+        hit_two, hit_one = own == model.by_two, own == model.by_one
+        begin, part = model.order_zero(kind)
+        begin = np.where(hit_two, _NONE, np.where(hit_one, model.weight_two, begin + inside[step] * part))
+        part = np.where(hit_two, model.weight_two, np.where(hit_one, model.both - model.weight_two, part))
+        unit = span >> TOTAL_BITS
+        low += unit * begin
+        span = unit * part
+        small = np.flatnonzero(span <= _WORD)
         if len(small):
-            words[small, used[small]] = low[small] >> _WORD
+            at = low[small]
+            words[row[small] + used[small]] = at >> WORD_BITS
             used[small] += 1
-            _renew(low, span, small)
-        model.learn(own)
+            low[small] = (at & _WORD) << WORD_BITS
+            span[small] <<= WORD_BITS
+        model.learn(own, kind, hit_two, hit_one)
     for _ in range(2):
-        words[model.lane, used] = low >> _WORD
+        words[row + used] = low >> WORD_BITS
         used += 1
-        low = low << _WORD
+        low = (low & _WORD) << WORD_BITS
+    words = words.reshape(lanes, room)
+    for at in range(int(used.max()) - 1, 0, -1):
+        words[:, at - 1] += words[:, at] >> WORD_BITS
+    words = (words & _WORD).astype("<u4")
     raw = ids.astype("<u4")
     sums = np.array([zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK]) for i in range(lanes)], "<u4")
-    return [words[i, :n].astype("<u4").tobytes() for i, n in enumerate(used.tolist())], sums
+    return [words[i, :n].tobytes() for i, n in enumerate(used.tolist())], sums
 
 
-def decode_blocks(blocks: list[bytes], total: int, sums: np.ndarray) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], total: int, sums: np.ndarray, bits: int = LEAST_BITS) -> np.ndarray:
     """The ids of all blocks; a block whose checksum differs is an error."""
-    lanes, steps = len(blocks), min(BLOCK, total)
-    words = np.zeros((lanes, max(len(b) for b in blocks) // 4 + 2), np.uint64)
+    lanes, steps, classes = len(blocks), min(BLOCK, total), classes_for(bits)
+    room = max(len(b) for b in blocks) // 4 + 2
+    words = np.zeros((lanes, room), np.int64)
     for i, b in enumerate(blocks):
         words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
-    model = Mixture(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code, used = (words[:, 0] << _WORD) | words[:, 1], np.full(lanes, 2)
+    words, row = words.ravel(), np.arange(lanes) * room
+    model = Mixture(lanes, classes)
+    span = np.full(lanes, (1 << 2 * WORD_BITS) - 1, np.int64)
+    code, used = words[row] << WORD_BITS | words[row + 1], row + 2
+    last_word, most, most_inside = row + room - 1, TOTAL - 1, (classes.width - 1).astype(np.int32)
+    first = classes.first.astype(np.int32)
     out = np.zeros((steps, lanes), np.uint32)
-    most = np.uint64((1 << TOTAL_BITS) - 1)
-    width = words.shape[1] - 1
     for step in range(steps):
-        model.predict()
-        unit = span >> np.uint64(TOTAL_BITS)
-        ids = model.find(np.minimum((code - low) // unit, most).astype(np.int64))
-        a, b = model.span(ids)
-        low += unit * a.astype(np.uint64)
-        span = unit * (b - a).astype(np.uint64)
-        small = np.flatnonzero(span < np.uint64(1 << 32))
+        if model.predict():
+            table = model.table()
+        unit = span >> TOTAL_BITS
+        value = (code / unit).astype(np.int64)
+        over = code - value * unit  # doubles may round a quotient to its neighbour
+        value += (over >> 63) + (over >= unit)
+        value = np.minimum(value, most).astype(np.int32)
+        hit_two, past = value < model.weight_two, value >= model.both
+        rest = np.maximum(value - model.both, 0)
+        kind = table.take(np.minimum((rest / model.unit).astype(np.int64), (1 << ZERO_BITS) - 1) + model.base_table).astype(np.int64)
+        begin, part = model.order_zero(kind)
+        inside = np.minimum((np.maximum(value - begin, 0) / part).astype(np.int32), most_inside.take(kind))
+        ids = np.where(hit_two, model.by_two, np.where(past, first.take(kind) + inside, model.by_one))
+        begin = np.where(hit_two, _NONE, np.where(past, begin + inside * part, model.weight_two))
+        part = np.where(hit_two, model.weight_two, np.where(past, part, model.both - model.weight_two))
+        code -= unit * begin
+        span = unit * part
+        small = np.flatnonzero(span <= _WORD)
         if len(small):
-            _renew(low, span, small)
-            code[small] = (code[small] << _WORD) | words[small, np.minimum(used[small], width)]
-            used[small] += 1
+            at = used[small]
+            code[small] = code[small] << WORD_BITS | words[np.minimum(at, last_word[small])]
+            used[small] = at + 1
+            span[small] <<= WORD_BITS
         out[step] = ids
-        model.learn(ids)
+        model.learn(ids, classes.kind.take(ids), hit_two, ids == model.by_one)
     raw = np.ascontiguousarray(out.T).ravel()[:total].astype("<u4")
     for i in range(lanes):
         if zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK]) != int(sums[i]):
@@ -217,29 +252,31 @@ def pack_segment(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     """Header, whether and which doc_id, length of each document, words and checksum of each block, coded blocks."""
     ids = np.concatenate(docs)
     lengths = np.array([len(d) for d in docs], "<i8")
-    if len(ids) and int(ids.max()) >= MOST_IDS:
-        raise ValueError(f"ids go up to {MOST_IDS - 1}")
-    parts = [encode_blocks(ids[i : i + SEGMENT]) for i in range(0, len(ids), SEGMENT)]
+    bits = max(LEAST_BITS, int(ids.max()).bit_length()) if len(ids) else LEAST_BITS
+    if bits > MOST_BITS:
+        raise ValueError(f"ids have at most {MOST_BITS} bits")
+    parts = [encode_blocks(ids[i : i + SEGMENT], bits) for i in range(0, len(ids), SEGMENT)]
     blocks = [b for bs, _ in parts for b in bs]
-    sums = np.concatenate([s for _, s in parts])
+    sums = np.concatenate([np.empty(0, "<u4"), *(s for _, s in parts)])
     table = zlib.compress(np.array([i is not None for i in doc_ids], "u1").tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + lengths.tobytes(), 1)
-    head = MAGIC + struct.pack("<qqqq", len(doc_ids), len(ids), len(blocks), len(table))
+    head = MAGIC + struct.pack("<qqqqq", len(doc_ids), len(ids), len(blocks), len(table), bits)
     return b"".join([head, table, np.array([len(b) // 4 for b in blocks], "<u4").tobytes(), sums.tobytes(), *blocks])
 
 
 def unpack_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     if data[:4] != MAGIC:
         raise ValueError("no segment of token ids")
-    n, total, count, size = struct.unpack_from("<qqqq", data, 4)
-    table = zlib.decompress(data[36 : 36 + size])
+    n, total, count, size, bits = struct.unpack_from("<qqqqq", data, 4)
+    table = zlib.decompress(data[44 : 44 + size])
     given, doc_ids, lengths = np.frombuffer(table, "u1", n), np.frombuffer(table, "<i8", n, n), np.frombuffer(table, "<i8", n, 9 * n)
-    at = 36 + size
+    at = 44 + size
     words, sums = np.frombuffer(data, "<u4", count, at), np.frombuffer(data, "<u4", count, at + 4 * count)
     at += 8 * count
     ends = at + 4 * np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     blocks = [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     per = SEGMENT // BLOCK
-    ids = np.concatenate([decode_blocks(blocks[i : i + per], min(SEGMENT, total - i * BLOCK), sums[i : i + per]) for i in range(0, count, per)])
+    parts = [decode_blocks(blocks[i : i + per], min(SEGMENT, total - i * BLOCK), sums[i : i + per], bits) for i in range(0, count, per)]
+    ids = np.concatenate([np.empty(0, "<u4"), *parts])
     cuts = np.cumsum(lengths)[:-1]
     return [int(d) if g else None for d, g in zip(doc_ids, given, strict=True)], np.split(ids, cuts)
 
@@ -272,13 +309,17 @@ def _segments(blob, name: str, end_id: int):
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Segments (part, segment, n_ids, data) in ascending doc_id (null first), to be written to a folder as they are.
 
-    Each document's ids by the tokenizers library, without added special tokens, and end_id. Null texts are empty. Every
-    row is a document of its own, also when it repeats a doc_id.
+    Each document's ids are those of the tokenizers library, without added special tokens, and end_id. Null and empty
+    texts have end_id alone. Every row is a document of its own, also when it repeats a doc_id: rows of one doc_id are in
+    the order of a hash of their texts, and can go to several tasks. A long text is one document of as many blocks as it
+    takes. An empty table has no segments. Further columns are ignored. Ids of more than MOST_BITS bits are an error.
     """
     prepare(spark)
     with open(tokenizer, encoding="utf-8") as f:
         blob = spark.sparkContext.broadcast(f.read())  # a vocabulary of a few MB
-    ordered = int_keyed(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    told = int_keyed(docs, "doc_id", "text").withColumns({"k": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    by = ("doc_id", "k", "row")  # so that a repeated row is no single range
+    ordered = told.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
     return ordered.mapInArrow(_segments(blob, tokenizer, end_id), "part long, segment long, n_ids long, data binary")
 
 
@@ -291,8 +332,10 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(spark: SparkSession, segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in segments, start counting the ids of all before it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a segment
+    """(doc_id, start, n_tokens, ids_crc32) of every document in segments, start counting the ids of all before it.
+
+    A task holds the segments of its split of the file and decodes one at a time.
+    """
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     inner = Window.partitionBy("part").orderBy("segment")
