@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import ahocorasick
 import numpy as np
@@ -172,10 +172,10 @@ class SpeculativeBPE:
         return out
 
     def in_letters(self, pieces: list[str]) -> list[str]:
-        """Pieces with a letter for each byte, made in one go; the mark between them is a character that no piece has."""
-        mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not any(c in p for p in pieces))
-        told = mark.join(pieces).encode().decode("latin-1").translate(self.letter_of)
-        return told.split(mark.encode().decode("latin-1").translate(self.letter_of))
+        """Pieces with a letter for each byte, made in one go and cut by their lengths in bytes."""
+        raw = [p.encode() for p in pieces]
+        told, ends = b"".join(raw).decode("latin-1").translate(self.letter_of), list(accumulate(map(len, raw)))
+        return [told[a:b] for a, b in zip([0, *ends], ends)]
 
     @staticmethod
     def _around(text: str, special: str) -> list[str]:
@@ -209,7 +209,9 @@ def encode_decode(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataF
     """(doc_id, ids, decoded) for every row of docs (doc_id, text); tokenizer is the path of a byte-level BPE's JSON.
 
     ids are those of the tokenizers library without added special tokens; strings of special tokens in a text give their
-    ids. Null texts are empty and have no ids. Each row stands for itself, also with a null or repeated doc_id.
+    ids. Null texts are empty and have no ids. Each row stands for itself, also with a null or repeated doc_id. Texts may
+    hold any characters and are taken whole, a long one in one piece. An empty table gives no rows; further columns are
+    ignored.
     """
     return _coded(spark, docs, tokenizer, "doc_id long, ids array<int>, decoded string", lambda ids, decoded: [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())])
 
