@@ -56,12 +56,17 @@ class Filters:
         self.languages = languages
         count = max(1, sum(len(e) for e in entries))
         self.bits = max(10, int(np.ceil(np.log2(ROOM * count))))
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(languages))
-        self.masks = np.zeros(1 << self.bits, kind)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= min(64, len(languages)))
+        self.masks = [np.zeros(1 << self.bits, kind) for _ in range(0, len(languages), 64)]  # of 64 languages each
         for bit, codes in enumerate(entries):
             for slot in self.slots(codes):
-                self.masks[np.unique(slot)] |= kind(1 << bit)
-        self.false = np.array([float((self.masks >> kind(b) & kind(1)).mean()) ** HASHES for b in range(len(languages))])
+                self.masks[bit // 64][np.unique(slot)] |= kind(1 << bit % 64)
+        self.false = np.array([float(self._bit(self.masks, b).mean()) ** HASHES for b in range(len(languages))])
+
+    @staticmethod
+    def _bit(masks: list[np.ndarray], language: int) -> np.ndarray:
+        own = masks[language // 64]
+        return own >> own.dtype.type(language % 64) & own.dtype.type(1)
 
     def slots(self, codes: np.ndarray) -> list[np.ndarray]:
         mixed = mix64(codes)
@@ -71,13 +76,14 @@ class Filters:
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         codes, owner, has = ngrams(texts)
         first, *others = self.slots(codes)
-        masks = self.masks[first]
+        masks = [m[first] for m in self.masks]
         for slot in others:
-            masks &= self.masks[slot]
+            for own, m in zip(masks, self.masks, strict=True):
+                own &= m[slot]
         total = np.bincount(owner, minlength=len(texts))
         shares = np.zeros((len(texts), len(self.languages)))
         for b in range(len(self.languages)):
-            hits = np.bincount(owner, masks >> self.masks.dtype.type(b) & self.masks.dtype.type(1), len(texts))
+            hits = np.bincount(owner, self._bit(masks, b), len(texts))
             shares[:, b] = (hits - total * self.false[b]) / (1 - self.false[b]) / np.maximum(total, 1)
         best = shares.argmax(axis=1)
         scores = np.clip(shares[np.arange(len(texts)), best], 0.0, 1.0)
@@ -126,7 +132,8 @@ def predict(spark: SparkSession, docs: DataFrame, filters: Filters | None) -> Da
     """(doc_id, lang_pred, score) for every row of docs (doc_id, text).
 
     Null texts and texts without a letter are undetermined, with score 0, and so is everything without filters. Of
-    languages with equal shares the first by name is taken.
+    languages with equal shares the first by name is taken. Texts are taken whole, each row stands for itself, also with a
+    null or repeated doc_id. An empty table gives no rows; further columns are ignored.
     """
     prepare(spark)
     held = spark.sparkContext.broadcast(filters)  # its size is bounded by the least share of an n-gram
