@@ -27,6 +27,8 @@ CAPACITY = 4096
 LOT = 1 << 19
 #: Items at most this long, so that windows can be made near-equal; longer remainders are cut in two.
 ITEM = CAPACITY // 2
+#: Items shorter than this go together up to it, so that a lot has at most about LOT / BUNDLE of what is partitioned.
+BUNDLE = 128
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -81,7 +83,19 @@ def pack_lot(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, i
             items.append((doc, whole, rest))
     if not items:
         return pieces
-    sizes = np.array([x[2] for x in items], np.int64)
+    bundles, open_one, held = [], [], 0
+    for item in items:
+        if item[2] >= BUNDLE:
+            bundles.append([item])
+            continue
+        open_one.append(item)
+        held += item[2]
+        if held >= BUNDLE:
+            bundles.append(open_one)
+            open_one, held = [], 0
+    if open_one:
+        bundles.append(open_one)
+    sizes = np.array([sum(x[2] for x in b) for b in bundles], np.int64)
     windows = -(-int(sizes.sum()) // capacity)
     if windows > 8:  # differencing leaves windows a few ids apart; without that room it would only be repeated
         windows = -(-int(sizes.sum()) // (capacity - capacity // 256))
@@ -94,9 +108,10 @@ def pack_lot(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, i
         windows = max(windows + 1, int(windows * (1 + (most - capacity) / mean / 2)))
     used = np.zeros(windows, np.int64)
     names = np.unique(window, return_inverse=True)[1]
-    for (doc, start, length), w in zip(items, names.tolist(), strict=True):
-        pieces.append((doc, start, length, sequence + w, int(used[w])))
-        used[w] += length
+    for bundle, w in zip(bundles, names.tolist(), strict=True):
+        for doc, start, length in bundle:
+            pieces.append((doc, start, length, sequence + w, int(used[w])))
+            used[w] += length
     return pieces
 
 
@@ -141,7 +156,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2,
     A document's ids are those of the tokenizers library without added special tokens, and end_id; a null or empty text has
     end_id alone. Pieces of a sequence follow each other from offset 0 without gaps and hold at most ``capacity`` ids.
     Every row is a document of its own, also with a null or repeated doc_id. sequence_id has the task's number in its
-    upper bits, so that no task needs to know of another. An empty table has no pieces.
+    upper bits, so that no task needs to know of another. An empty table has no pieces; further columns are ignored. A long
+    text is cut into whole windows and a rest.
     """
     prepare(spark)
     with open(tokenizer, encoding="utf-8") as f:
