@@ -17,13 +17,13 @@ def stats_rows(rois: DataFrame, slides: DataFrame) -> DataFrame:
     flat = rois.join(slides.select(F.col("id").alias("slide_id"), "mpp"), "slide_id", "left").withColumn("s", s)
     w, h = geometry.physical(F.col("x1") - F.col("x0"), F.col("mpp")), geometry.physical(F.col("y1") - F.col("y0"), F.col("mpp"))
     rgb = [jsonx.finite(F.try_element_at("s.mean_rgb", F.lit(i))).alias(n) for i, n in ((1, "mean_r"), (2, "mean_g"), (3, "mean_b"))]
-    return flat.select("id", "slide_id", "label", w.alias("width_um"), h.alias("height_um"), (w * h / 1e6).alias("area_mm2"), *rgb, jsonx.finite(F.col("s.he_deconvolution.hematoxylin_mean")).alias("hema"), jsonx.finite(F.col("s.he_deconvolution.eosin_mean")).alias("eosin"), jsonx.finite(F.col("s.tissue_fraction")).alias("tissue"), jsonx.has_keys(F.col("stats_json")).alias("has_stats"))
+    return flat.select("id", "slide_id", "label", w.alias("width_um"), h.alias("height_um"), geometry.area_mm2(w, h).alias("area_mm2"), *rgb, jsonx.finite(F.col("s.he_deconvolution.hematoxylin_mean")).alias("hema"), jsonx.finite(F.col("s.he_deconvolution.eosin_mean")).alias("eosin"), jsonx.finite(F.col("s.tissue_fraction")).alias("tissue"), jsonx.has_keys(F.col("stats_json")).alias("has_stats"))
 
 
 def label_summary(rows: DataFrame, columns: Sequence[str], key: str = "label") -> DataFrame:
-    """Per label: rows, and mean and population deviation of each column, the latter NULL under two values."""
-    told = [x for c in columns for x in (F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.when(F.count(c) >= 2, F.stddev_pop(c)), 6).alias(f"{c}_sd"))]
-    return rows.groupBy(key).agg(F.count("*").alias("n"), *told)
+    """Per label: rows, and mean and population deviation of each column, the latter NULL under two values. NULL is the empty label."""
+    told = [x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.when(F.count(c) >= 2, F.stddev_pop(c)).alias(f"{c}_sd"))]
+    return rows.groupBy(F.coalesce(key, F.lit("")).alias(key)).agg(F.count("*").alias("n"), *told)
 
 
 def in_viewport(rois: DataFrame, slide_id: int, view: tuple[float, float, float, float], limit: int = 2000) -> DataFrame:
@@ -51,13 +51,18 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def duplicates(rows: DataFrame, keys: Sequence[str], member: str = "id") -> DataFrame:
-    """Keys with several members: how many and the smallest, which is the keeper."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(member).alias("keeper")).where("n > 1")
+    """Keys with several members: how many and the smallest, which is the keeper. A key with a NULL in it is no key."""
+    return rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("n"), F.min(member).alias("keeper")).where("n > 1")
 
 
 def remap_to_keeper(rows: DataFrame, keys: Sequence[str], member: str = "id") -> DataFrame:
-    """Each row with the keeper of its key; the keeper comes from an aggregate, so that a large group isn't gathered in one task."""
-    return rows.join(rows.groupBy(*keys).agg(F.min(member).alias("keeper")), list(keys))
+    """Each row with the keeper of its key, itself where it has no key or shares it with none.
+
+    Keepers come from an aggregate, so that a large group isn't gathered in one task; only keys with several members are
+    joined back, which Spark broadcasts as long as they are few.
+    """
+    keepers = duplicates(rows, keys, member).select(*keys, "keeper")
+    return rows.join(keepers, list(keys), "left").withColumn("keeper", F.coalesce("keeper", member))
 
 
 def overlaps(a: DataFrame, b: DataFrame, cell: float, keys: Sequence[str] = ("slide_id",)) -> DataFrame:
@@ -80,12 +85,6 @@ def dangling(children: DataFrame, column: str, parents: DataFrame, key: str = "i
     return children.where(F.col(column).isNotNull()).join(parents.select(F.col(key).alias(column)), column, "left_anti")
 
 
-def changed(rows: DataFrame, session: str, order: Sequence[str], value: str, relative: float) -> DataFrame:
-    """Rows whose value differs from the one before in the session by more than a share; the first always counts."""
-    before = F.lag(value).over(Window.partitionBy(session).orderBy(*order))
-    return rows.withColumn("before", before).where(F.col("before").isNull() | (F.abs(F.col(value) - F.col("before")) > relative * F.abs(F.col("before"))))
-
-
 def viewport_changed(rows: DataFrame, session: str, order: Sequence[str], center_px: float = 0.5, zoom: float = 0.01) -> DataFrame:
     """Each viewport (cx, cy, ds, width, height) with ``changed``: against the one before in the session its size differs, its centre moved by center_px at the new downsample, or its zoom by a share.
 

@@ -1,11 +1,10 @@
-"""Writes on versioned snapshots: a new version is a directory, and a pointer file names the current one.
+"""Writes on versioned snapshots: a new version is a directory, and a marker file makes it complete.
 
 Operators turn frames into frames; ``Snapshots`` publishes their results. One writer, readers pin a version.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,36 +76,50 @@ def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, root: str, cas
     return out
 
 
-def allocate_ids(rows: DataFrame, last: int, order: Sequence[str]) -> DataFrame:
-    """Ids after ``last`` in the order of the input sequence."""
-    return rows.withColumn("id", (F.lit(last) + F.row_number().over(Window.orderBy(*order))).cast("long"))
+def allocate_ids(rows: DataFrame, last: int) -> DataFrame:
+    """Ids after ``last``, without gaps, in the order of rows' partitions: counts of these give each its first id."""
+    tagged = rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_low"))
+    before = sizes.select("_part", "_low", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))  # one row a partition
+    first = F.lit(last + 1) + F.col("_before") + F.col("_row") - F.col("_low")
+    return tagged.join(F.broadcast(before), "_part").withColumn("id", first.cast("long")).drop("_part", "_row", "_low", "_before")
+
+
+def partial_update(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """rows with the values that changes (one row a key) give; a NULL there leaves the value as it is, keys that rows lack do nothing."""
+    given = [c for c in changes.columns if c != key]
+    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in given))
+    joined = rows.join(new, key, "left")
+    return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c) for c in rows.columns))
 
 
 class Snapshots:
-    """Versions of named tables in one folder of any file system that Spark reaches."""
+    """Versions of named tables in one folder of any file system that Spark reaches.
+
+    A version is a folder, complete once its marker file is there; the current one is the largest complete one. One
+    writer at a time; a folder that a crash left without its marker is never written into again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _numbers(self, pattern: str) -> list[int]:
+        found = self._fs.globStatus(self._path(f"{self.folder}/{pattern}"))
+        return [int(f.getPath().getName().lstrip("v").removesuffix(".complete")) for f in found or ()]
+
     def version(self) -> int:
-        pointer = self._path(f"{self.folder}/CURRENT")
-        return int(json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])["version"]) if self._fs.exists(pointer) else 0
+        return max(self._numbers("*.complete"), default=0)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/v{version or self.version()}/{table}")
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes all tables of the next version, then moves the pointer by a rename."""
-        new = self.version() + 1
+    def commit(self, tables: dict[str, DataFrame], clustered: dict[str, Sequence[str]] | None = None) -> int:
+        """Writes all tables of the next version, then its marker. clustered: columns to range-partition and sort a table by, so that filters on them skip files."""
+        new = max([self.version(), *self._numbers("v*")]) + 1
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/v{new}/{name}")
-        fresh, pointer = self._path(f"{self.folder}/.CURRENT-{new}"), self._path(f"{self.folder}/CURRENT")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": new}).encode()))
-        out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(fresh, pointer)
+            by = (clustered or {}).get(name)
+            (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.mode("error").parquet(f"{self.folder}/v{new}/{name}")
+        self._fs.create(self._path(f"{self.folder}/{new}.complete"), False).close()
         return new

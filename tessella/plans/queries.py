@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import geometry, strings
 from tessella.operators import relational as R
 from tessella.operators import store as S
-from tessella.sources.views import duck, register
-
-Tables = Callable[[str], DataFrame]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None):
-    def put(f: Callable[[Tables], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            register(spark, sf_dir)
-            return f(spark.table)
-
-        QUERIES[f.__name__] = run
-        if oracle:
-            ORACLES[f.__name__] = duck(oracle)
-        return f
-
-    return put
-
+from tessella.plans.registry import ORACLES, QUERIES, Tables, query
 
 def _rois_with_stats(t: Tables) -> DataFrame:
     """Regions with their statistics as JSON text: absent for some, malformed for others."""
@@ -52,9 +31,10 @@ def roi_stats_rows(t: Tables) -> DataFrame:
     return R.stats_rows(_rois_with_stats(t), t("slides"))
 
 
-@query(f"WITH flat AS ({_FLAT}) SELECT label, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(CASE WHEN count({c}) >= 2 THEN stddev_pop({c}) END, 6) AS {c}_sd" for c in _SUMMED) + " FROM flat WHERE slide_id = 7 GROUP BY label")
+@query(f"WITH flat AS ({_FLAT}) SELECT label, count(*) AS n, " + ", ".join(f"round(avg({c}), 9) AS {c}_mean, round(CASE WHEN count({c}) >= 2 THEN stddev_pop({c}) END, 9) AS {c}_sd" for c in _SUMMED) + " FROM flat WHERE slide_id = 7 GROUP BY label")
 def label_summary(t: Tables) -> DataFrame:
-    return R.label_summary(R.stats_rows(_rois_with_stats(t).where("slide_id = 7"), t("slides")), _SUMMED).orderBy("label")
+    told = R.label_summary(R.stats_rows(_rois_with_stats(t).where("slide_id = 7"), t("slides")), _SUMMED)
+    return told.select("label", "n", *(F.round(f"{c}_{x}", 9).alias(f"{c}_{x}") for c in _SUMMED for x in ("mean", "sd"))).orderBy("label")  # as other engines add up in another order
 
 
 @query("SELECT id, x0, y0, x1, y1 FROM rois WHERE slide_id = 3 AND has_bbox = 1 AND x0 <= 60000 AND x1 >= 10000 AND y0 <= 60000 AND y1 >= 10000 ORDER BY id LIMIT 2000")
@@ -98,14 +78,8 @@ def measurement_latest(t: Tables) -> DataFrame:
     return R.latest(t("measurements"), ["annotation_id", "name"], order).select("annotation_id", "name", "value", "created_at")
 
 
-@query(f"SELECT annotation_id, name, CAST(k AS INTEGER) AS version, value FROM (SELECT *, row_number() OVER (PARTITION BY annotation_id, name ORDER BY {_HISTORY.replace('DESC', 'ASC')}) AS k FROM measurements WHERE annotation_id < 200) x")
-def measurement_history(t: Tables) -> DataFrame:
-    w = Window.partitionBy("annotation_id", "name").orderBy(*[c.split()[0] for c in _HISTORY.split(", ")])
-    return t("measurements").where("annotation_id < 200").select("annotation_id", "name", F.row_number().over(w).alias("version"), "value")
-
-
 @query(f"SELECT annotation_id, name, CAST(k AS INTEGER) AS version, value FROM (SELECT *, row_number() OVER (PARTITION BY annotation_id, name ORDER BY {_HISTORY.replace('DESC', 'ASC')}) AS k FROM measurements) x")
-def measurement_versions(t: Tables) -> DataFrame:
+def measurement_history(t: Tables) -> DataFrame:
     """Every version of every annotation's measurements; measurement_history is a slice of it."""
     w = Window.partitionBy("annotation_id", "name").orderBy(*[c.split()[0] for c in _HISTORY.split(", ")])
     return t("measurements").select("annotation_id", "name", F.row_number().over(w).alias("version"), "value")
@@ -155,15 +129,15 @@ def catalog_stats_projects(t: Tables) -> DataFrame:
     return t("files").groupBy("project_id").agg(F.count("*").alias("n"), F.count("local_path").alias("downloaded")).select(F.coalesce(F.col("project_id").cast("string"), F.lit("unknown")).alias("project"), "n", "downloaded")
 
 
-@query("SELECT file_id, project_id, file_name, CAST(row_number() OVER (ORDER BY project_id NULLS FIRST, file_name) AS INTEGER) AS place FROM files WHERE local_path IS NOT NULL AND sample_id IS NOT NULL AND (project_id IS NULL OR project_id < 3) ORDER BY place LIMIT 300")
+@query("SELECT file_id, project_id, file_name, CAST(row_number() OVER (ORDER BY project_id NULLS FIRST, file_name) AS INTEGER) AS place FROM files WHERE local_path IS NOT NULL AND sample_id IS NOT NULL ORDER BY place LIMIT 300")
 def catalog_search(t: Tables) -> DataFrame:
-    own = t("files").where("local_path IS NOT NULL AND sample_id IS NOT NULL AND (project_id IS NULL OR project_id < 3)").orderBy("project_id", "file_name").limit(300)
+    own = t("files").where("local_path IS NOT NULL AND sample_id IS NOT NULL").orderBy("project_id", "file_name").limit(300)
     return own.select("file_id", "project_id", "file_name", F.row_number().over(Window.orderBy("project_id", "file_name")).alias("place"))
 
 
-@query("SELECT r.file_id, coalesce(f.local_path, CASE WHEN r.file_id % 2 = 0 THEN '/new' END) AS local_path FROM (SELECT file_id FROM files WHERE file_id % 10 < 4) r LEFT JOIN (SELECT file_id, local_path FROM files WHERE local_path IS NOT NULL) f ON r.file_id = f.file_id")
+@query("SELECT r.file_id, coalesce(f.local_path, CASE WHEN r.file_id % 2 = 0 THEN '/new' END) AS local_path FROM (SELECT file_id FROM files) r LEFT JOIN (SELECT file_id, local_path FROM files WHERE local_path IS NOT NULL) f ON r.file_id = f.file_id")
 def merge_download_state(t: Tables) -> DataFrame:
-    records = t("files").where("file_id % 10 < 4").select("file_id", F.when(F.col("file_id") % 2 == 0, "/new").alias("own"))
+    records = t("files").select("file_id", F.when(F.col("file_id") % 2 == 0, "/new").alias("own"))
     known = t("files").where("local_path IS NOT NULL").select("file_id", "local_path")
     return records.join(known, "file_id", "left").select("file_id", F.coalesce("local_path", "own").alias("local_path"))
 
@@ -217,12 +191,6 @@ def dedupe_apply(t: Tables) -> DataFrame:
 _KEY = "sha256(concat('[\"', kind, '\",[[', CAST(CAST(round_even(x0 / 64, 0) AS BIGINT) AS VARCHAR), ',', CAST(CAST(round_even(y0 / 64, 0) AS BIGINT) AS VARCHAR), ']]]'))"
 
 
-@query(f"SELECT slide_id, geom_key, count(*) AS n, min(id) AS keeper FROM (SELECT id, slide_id, {_KEY} AS geom_key FROM rois) x GROUP BY slide_id, geom_key HAVING count(*) > 1")
-def duplicate_geometry(t: Tables) -> DataFrame:
-    points = F.array(F.struct((F.col("x0") / 64).alias("x"), (F.col("y0") / 64).alias("y")))
-    return R.duplicates(t("rois").select("id", "slide_id", geometry.geometry_key(F.col("kind"), points).alias("geom_key")), ["slide_id", "geom_key"])
-
-
 @query("""WITH old AS (SELECT id, name, mpp, path FROM slides WHERE id % 3 <> 0), new AS (SELECT id, concat(name, '-2') AS name, CASE WHEN id % 2 = 0 THEN NULL ELSE mpp END AS mpp, CASE WHEN id % 4 = 0 THEN NULL ELSE '/moved' END AS path FROM slides WHERE id % 2 = 0 OR id % 5 = 0)
     SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, CASE WHEN n.id IS NULL THEN o.mpp ELSE n.mpp END AS mpp, CASE WHEN o.id IS NULL THEN n.path ELSE coalesce(n.path, o.path) END AS path,
     CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM old o FULL OUTER JOIN new n ON o.id = n.id""")
@@ -270,36 +238,9 @@ def migration_plan(t: Tables) -> DataFrame:
     return a.crossJoin(b).crossJoin(t("files").agg(F.count_if(F.col("md5sum").isNull()).alias("without_md5")))  # one row each
 
 
-_BARCODE = "concat('TCGA-', lpad(CAST(file_id % 90 + 10 AS VARCHAR(8)), 2, '0'), '-', lpad(CAST(file_id % 10000 AS VARCHAR(8)), 4, 'A'), CASE WHEN file_id % 3 = 0 THEN '' WHEN file_id % 3 = 1 THEN '-01A-01-TS1.svs' ELSE '-11A.svs' END)"
-
-
-@query(f"SELECT file_id, substr(b, 1, 12) AS case_id, CASE WHEN file_id % 3 = 0 THEN NULL ELSE substr(b, 1, 16) END AS sample, CASE file_id % 3 WHEN 1 THEN '01' WHEN 2 THEN '11' END AS code, CASE file_id % 3 WHEN 1 THEN 'Primary Tumor' WHEN 2 THEN 'Solid Tissue Normal' END AS sample_type FROM (SELECT file_id, {_BARCODE} AS b FROM files) x")
-def barcode_parts(t: Tables) -> DataFrame:
-    return t("files").selectExpr("file_id", f"{_BARCODE} AS b").select("file_id", strings.barcode(F.col("b")).alias("p")).select("file_id", "p.*")
-
-
-@query("SELECT file_id, concat(coalesce(CAST(project_id AS VARCHAR), 'unknown-project'), '/', CAST(case_id AS VARCHAR), '/', CAST(file_id AS VARCHAR), '/', file_name) AS relpath FROM files")
-def storage_paths(t: Tables) -> DataFrame:
-    return t("files").select("file_id", strings.storage_path(F.col("project_id").cast("string"), F.col("case_id").cast("string"), F.concat(F.lit("gdc:"), F.col("file_id")), F.concat(F.lit("a\\b/._"), F.col("file_name"), F.lit("_."))).alias("relpath"))
-
-
-@query("SELECT id, CAST(greatest(0, floor(x0 - 400)) AS BIGINT) AS x0, CAST(greatest(0, floor(y0 - 400)) AS BIGINT) AS y0, CAST(ceil(x0 + 400) AS BIGINT) AS x1, CAST(ceil(y0 + 400) AS BIGINT) AS y1 FROM rois WHERE kind = 'circle'")
-def roi_bbox(t: Tables) -> DataFrame:
-    points = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct((F.col("x0") + 400).alias("x"), F.col("y0").alias("y")))
-    return t("rois").where("kind = 'circle'").select("id", geometry.bbox(F.col("kind"), points).alias("b")).select("id", "b.*")
-
-
-@query("SELECT r.id, (r.x1 - r.x0) * s.mpp AS width_um, sqrt((r.x1 - r.x0) * (r.x1 - r.x0) + (r.y1 - r.y0) * (r.y1 - r.y0)) AS diagonal_px, s.mpp * greatest((r.x1 - r.x0) / 256, (r.y1 - r.y0) / 256) AS patch_mpp, 20.0 / (s.mpp * 4) AS magnification FROM rois r JOIN slides s ON r.slide_id = s.id WHERE r.id % 50 = 0")
-def measure_box(t: Tables) -> DataFrame:
-    own = t("rois").where("id % 50 = 0").join(t("slides").select(F.col("id").alias("slide_id"), "mpp"), "slide_id")
-    w, h, mpp = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("mpp")
-    side = F.lit(256)
-    return own.select("id", geometry.physical(w, mpp).alias("width_um"), F.sqrt(w * w + h * h).alias("diagonal_px"), geometry.patch_mpp(mpp, w, h, side, side).alias("patch_mpp"), geometry.magnification(mpp, F.lit(4)).alias("magnification"))
-
-
 @query("""SELECT r.id, w AS width_px, h AS height_px, w * s.mpp AS width_um, h * s.mpp AS height_um, sqrt(w * w + h * h) AS diagonal_px, sqrt(w * w + h * h) * s.mpp AS diagonal_um,
     s.mpp * greatest(w / 256, h / 256) AS patch_mpp, 20.0 / (s.mpp * 4) AS magnification FROM (SELECT id, slide_id, abs(x1 - x0) AS w, abs(y1 - y0) AS h FROM rois) r LEFT JOIN slides s ON r.slide_id = s.id""")
-def measure_boxes(t: Tables) -> DataFrame:
+def measure_box(t: Tables) -> DataFrame:
     """The measurement of every region; pixels only where its slide or the slide's resolution is unknown."""
     own = t("rois").join(t("slides").select(F.col("id").alias("slide_id"), "mpp"), "slide_id", "left")
     w, h, mpp = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")), F.col("mpp")
@@ -356,26 +297,14 @@ def channel_stats(t: Tables) -> DataFrame:
     return t("pixels").agg(F.round(F.avg("r"), 6).alias("mean_r"), F.round(F.stddev_pop("r"), 6).alias("sd_r"), *[F.round(F.percentile("r", p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
 
 
-@query("SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 5) AS mean_v, round(stddev_pop(v), 5) AS sd_v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) x WHERE dim < 8 GROUP BY label, dim")
-def feature_stats_by_label(t: Tables) -> DataFrame:
-    return t("embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("dim", "v")).groupBy("label", "dim").agg(F.round(F.avg("v"), 5).alias("mean_v"), F.round(F.stddev_pop("v"), 5).alias("sd_v"))
-
-
 @query("SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 5) AS mean_v, round(stddev_pop(v), 5) AS sd_v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) x GROUP BY label, dim")
-def feature_stats_all_dims(t: Tables) -> DataFrame:
+def feature_stats_by_label(t: Tables) -> DataFrame:
     return t("embeddings").select("label", F.posexplode("embedding").alias("dim", "v")).groupBy("label", "dim").agg(F.round(F.avg("v"), 5).alias("mean_v"), F.round(F.stddev_pop("v"), 5).alias("sd_v"))
 
 
-@query("SELECT session_id, count(*) AS n, count_if(before IS NULL OR abs(value - before) > 0.5 * abs(before)) AS changes FROM (SELECT *, lag(value) OVER (PARTITION BY session_id ORDER BY created_at, id) AS before FROM interactions) x GROUP BY session_id")
-def viewport_changes(t: Tables) -> DataFrame:
-    own = t("interactions")
-    moved = R.changed(own, "session_id", ["created_at", "id"], "value", 0.5).groupBy("session_id").agg(F.count("*").alias("changes"))
-    return own.groupBy("session_id").agg(F.count("*").alias("n")).join(moved, "session_id").select("session_id", "n", "changes")
-
-
 @query("""SELECT session_id, count(*) AS n, count_if(old_ds IS NULL OR width <> old_width OR height <> old_height OR sqrt((cx - old_cx) * (cx - old_cx) + (cy - old_cy) * (cy - old_cy)) / ds >= 0.5 OR abs(ds / old_ds - 1.0) >= 0.01) AS changes
     FROM (SELECT *, lag(cx) OVER w AS old_cx, lag(cy) OVER w AS old_cy, lag(ds) OVER w AS old_ds, lag(width) OVER w AS old_width, lag(height) OVER w AS old_height FROM viewports WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)) x GROUP BY session_id""")
-def viewport_moves(t: Tables) -> DataFrame:
+def viewport_changes(t: Tables) -> DataFrame:
     marked = R.viewport_changed(t("viewports"), "session_id", ["created_at", "id"])
     return marked.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if("changed").alias("changes"))
 
@@ -396,33 +325,21 @@ def overlay_union(t: Tables) -> DataFrame:
     return own.unionByName(own.where("id % 2 = 0").withColumn("origin", F.lit("session")))
 
 
-@query("SELECT DISTINCT label FROM rois EXCEPT SELECT label FROM rois WHERE id % 4 <> 0 AND slide_id = 0")
-def labels_lost(t: Tables) -> DataFrame:
-    return t("rois").select("label").distinct().join(t("rois").where("id % 4 <> 0 AND slide_id = 0").select("label"), "label", "left_anti")
-
-
-@query("SELECT i, CAST(i * 1000 AS BIGINT) AS first, CAST(least((i + 1) * 1000, size) - 1 AS BIGINT) AS last, file_id FROM (SELECT file_id, 4500 AS size FROM files WHERE file_id < 100) f, (SELECT CAST(range AS INTEGER) AS i FROM range(5)) r")
-def byte_ranges(t: Tables) -> DataFrame:
-    own = t("files").where("file_id < 100").select("file_id", F.lit(4500).alias("size")).withColumn("i", F.explode(F.sequence(F.lit(0), F.expr("cast(ceil(size / 1000) AS int) - 1"))))
-    return own.select("i", (F.col("i") * 1000).cast("long").alias("first"), (F.least((F.col("i") + 1) * 1000, F.col("size")) - 1).cast("long").alias("last"), "file_id")
-
-
 _WORKERS = 8
 
 
 @query(f"""SELECT file_id, i, i * base + least(i, extra) AS first, i * base + least(i, extra) + base + CASE WHEN i < extra THEN 1 ELSE 0 END - 1 AS last FROM (SELECT file_id, n, file_size // n AS base, file_size % n AS extra FROM
     (SELECT file_id, file_size, least({_WORKERS}, file_size) AS n FROM files WHERE file_size > 0) s) f JOIN (SELECT CAST(range AS BIGINT) AS i FROM range({_WORKERS})) r ON i < n""")
-def file_byte_ranges(t: Tables) -> DataFrame:
+def byte_ranges(t: Tables) -> DataFrame:
     """Every file's own size split among the workers."""
     return t("files").select("file_id", F.posexplode(strings.split_ranges(F.col("file_size"), F.lit(_WORKERS))).alias("i", "r")).select("file_id", F.col("i").cast("long").alias("i"), "r.first", "r.last")
 
 
-@query("SELECT id, CASE WHEN w <= 100 THEN 0 WHEN w <= 200 THEN 1 WHEN w <= 400 THEN 2 ELSE 3 END AS level FROM (SELECT id, x1 - x0 AS w FROM rois) x")
-def pyramid_level(t: Tables) -> DataFrame:
-    w = F.col("x1") - F.col("x0")
-    return t("rois").select("id", F.when(w <= 100, 0).when(w <= 200, 1).when(w <= 400, 2).otherwise(3).alias("level"))
-
-
 @query("SELECT slide_id, count(*) AS annotation_count, round(sum((x1 - x0) * (y1 - y0)), 3) AS area_px, max(created_at) AS newest FROM rois GROUP BY slide_id")
 def rois_per_slide(t: Tables) -> DataFrame:
     return t("rois").groupBy("slide_id").agg(F.count("*").alias("annotation_count"), F.round(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), 3).alias("area_px"), F.max("created_at").alias("newest"))
+
+
+from tessella.plans import catalog_queries, geometry_queries, interop_queries, pixel_queries, text_queries  # noqa: E402,F401 they register theirs
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Structured streams of the store's log."""

@@ -31,7 +31,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, str(DATA)).toPandas()) == rows(duck.sql(ORACLES[name]).df())
 

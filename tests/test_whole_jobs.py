@@ -20,7 +20,7 @@ def table(name):
 
 
 def test_every_measurement_has_a_version(spark):
-    got = QUERIES["measurement_versions"](spark, str(DATA)).collect()
+    got = QUERIES["measurement_history"](spark, str(DATA)).collect()
     want = Counter((r["l_orderkey"], r["l_returnflag"]) for r in table("lineitem"))
     assert Counter((r["annotation_id"], r["name"]) for r in got) == want
     versions = {(r["annotation_id"], r["name"], r["version"]) for r in got}
@@ -28,7 +28,7 @@ def test_every_measurement_has_a_version(spark):
 
 
 def test_every_region_is_measured(spark):
-    got = {r["id"]: r for r in QUERIES["measure_boxes"](spark, str(DATA)).collect()}
+    got = {r["id"]: r for r in QUERIES["measure_box"](spark, str(DATA)).collect()}
     n_slides = len(table("supplier"))
     mpp = {r["s_suppkey"]: None if r["s_suppkey"] % 5 == 4 else 0.25 * (1 + r["s_suppkey"] % 3) for r in table("supplier")}
     orders = table("orders")
@@ -55,7 +55,7 @@ def test_ranges_of_a_file(spark):
 
 
 def test_every_file_is_split_by_its_own_size(spark):
-    got = sorted(tuple(r) for r in QUERIES["file_byte_ranges"](spark, str(DATA)).collect())
+    got = sorted(tuple(r) for r in QUERIES["byte_ranges"](spark, str(DATA)).collect())
     held = {r["c_custkey"] for r in table("customer")}
     assert got == sorted((r["o_orderkey"], i, *x) for r in table("orders") if r["o_custkey"] in held for i, x in enumerate(split(math.floor(r["o_totalprice"]), 8)))
 
@@ -65,7 +65,7 @@ def test_statistics_of_every_dimension(spark):
     for r in table("embeddings"):
         for dim, v in enumerate(r["embedding"]):
             values.setdefault((r["label"], dim), []).append(v)
-    got = {(r["label"], r["dim"]): r for r in QUERIES["feature_stats_all_dims"](spark, str(DATA)).collect()}
+    got = {(r["label"], r["dim"]): r for r in QUERIES["feature_stats_by_label"](spark, str(DATA)).collect()}
     assert got.keys() == values.keys() and max(d for _, d in got) > 8
     for k, own in values.items():
         assert abs(got[k]["mean_v"] - statistics.fmean(own)) < 1e-5 and abs(got[k]["sd_v"] - statistics.pstdev(own)) < 1e-5
@@ -77,7 +77,7 @@ def test_viewports_change_by_centre_zoom_or_size(spark):
     assert all(r["changed"] == r["want"] for r in R.viewport_changed(df, "s", ["id"]).collect())
 
 
-def test_viewport_moves_of_every_session(spark):
-    got = QUERIES["viewport_moves"](spark, str(DATA)).collect()
+def test_viewport_changes_of_every_session(spark):
+    got = QUERIES["viewport_changes"](spark, str(DATA)).collect()
     assert {r["session_id"]: r["n"] for r in got} == Counter(r["user_id"] for r in table("events"))
     assert 0 < sum(r["changes"] for r in got) < sum(r["n"] for r in got)
