@@ -2,7 +2,8 @@
 
 Folding undoes homoglyphs and digits or symbols put for letters, and drops
 decoration at the ends of words. The lexicon holds words and stems with log odds
-as weights, learned from labelled documents. Hits inside an exception phrase don't
+as weights, learned from labelled documents; for some stems one word tells nothing, but two
+different ones do, and these are entries of their own. Hits inside an exception phrase don't
 count. The sum of weights is normalised by the length of the text and becomes a
 probability by a rate fitted on the same documents.
 """
@@ -52,35 +53,50 @@ def fold(text: str | None) -> str:
     return f" {' '.join(_ends.sub('', text).lower().translate(_table).split())} "
 
 
+#: Before a stem: the entry needs two different words with it.
+TWICE = "2:"
+
+
 def stems(words: set[str]) -> set[str]:
-    """Beginnings of words from SHORTEST to LONGEST letters; a whole word ends with a space."""
-    return {w[:n] for word in words for w in [word + " "] for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    """Beginnings of words from SHORTEST to LONGEST letters, those of two words also as an entry of that kind; a whole word ends with a space."""
+    counts = Counter(w[:n] for word in words for w in [word + " "] for n in range(SHORTEST, min(len(w), LONGEST) + 1))
+    return {*counts, *(TWICE + s for s, n in counts.items() if n > 1)}
 
 
 class Lexicon:
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, rate: float = 1.0, floor: float = 0.0):
         self.weights, self.rate, self.floor = weights, rate, floor
         self.automaton = ahocorasick.Automaton()
-        for stem, weight in weights.items():
-            self.automaton.add_word(" " + stem, (weight, len(stem) + 1))
+        for stem in {k.removeprefix(TWICE) for k in weights}:
+            self.automaton.add_word(" " + stem, (stem, len(stem) + 1))
         for phrase in exceptions:
             self.automaton.add_word(f" {phrase} ", (None, len(phrase) + 2))
         self.automaton.make_automaton()
 
     def evidence(self, text: str | None) -> float:
-        """Summed weights of the words hit, each by its heaviest entry, over the length."""
+        """Summed weights of the words hit, each by its heaviest entry, and of the stems that two different words have, over the length."""
         folded = fold(text)
-        hits: dict[int, float] = {}
+        hits: list[tuple[int, str]] = []
         spared: list[tuple[int, int]] = []
-        for end, (weight, size) in self.automaton.iter(folded):
+        for end, (stem, size) in self.automaton.iter(folded):
             start = end - size + 1
-            if weight is None:
+            if stem is None:
                 spared.append((start, end))
             else:
-                hits[start] = max(weight, hits.get(start, weight))
-        for a, b in spared:
-            hits = {at: w for at, w in hits.items() if not a <= at < b}
-        return sum(hits.values()) / (1 + math.log1p((folded.count(" ") - 1) / LENGTH)) if hits else 0.0
+                hits.append((start, stem))
+        inside = {at for a, b in spared for at in range(a, b)}
+        hits = [(at, s) for at, s in hits if at not in inside]
+        if not hits:
+            return 0.0
+        single: dict[int, float] = {}
+        words: dict[str, set[str]] = {}
+        for at, stem in hits:
+            if stem in self.weights:
+                single[at] = max(self.weights[stem], single.get(at, self.weights[stem]))
+            if TWICE + stem in self.weights:
+                words.setdefault(stem, set()).add(folded[at + 1 : folded.index(" ", at + 1)])
+        total = sum(single.values()) + sum(self.weights[TWICE + s] for s, w in words.items() if len(w) > 1)
+        return total / (1 + math.log1p((folded.count(" ") - 1) / LENGTH))
 
     def score(self, evidence: float) -> float:
         return min(1.0, max(0.0, 1 - (1 - self.floor) * math.exp(-self.rate * evidence)))
@@ -90,7 +106,12 @@ def choose_entries(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n
     """Weights of words and stems from the documents of either label that hold them.
 
     The shortest stems that tell are followed to longer ones as long as a few of those hold nearly all of their documents.
+    Entries that need two words are chosen apart, in the same way.
     """
+    if any(s.startswith(TWICE) for s in toxic):
+        bare = [{s.removeprefix(TWICE): n for s, n in c.items() if s.startswith(TWICE)} for c in (toxic, other)]
+        once = [{s: n for s, n in c.items() if not s.startswith(TWICE)} for c in (toxic, other)]
+        return choose_entries(*once, n_toxic, n_other) | {TWICE + s: w for s, w in choose_entries(*bare, n_toxic, n_other).items()}
     need = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
 
     def weight(stem: str) -> float:
@@ -198,7 +219,11 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score) for every row of docs (doc_id, text); null and empty texts have the score of a text without hits."""
+    """(doc_id, score) for every row of docs (doc_id, text); null and empty texts have the score of a text without hits.
+
+    Texts are read whole, each row for itself, also with a null or repeated doc_id. An empty table gives no rows; further
+    columns are ignored. With an empty lexicon every score is its floor.
+    """
     prepare(spark)
     weights, rate, floor = lexicon.weights, lexicon.rate, lexicon.floor
 
@@ -211,7 +236,10 @@ def score_texts(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> DataF
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose text scores below the threshold, with all their columns."""
+    """The rows of docs whose text scores below the threshold, with all their columns, whatever their names.
+
+    Null and empty texts have no hits and stay; each row is judged by its text alone, so that repeated rows share their fate.
+    """
     prepare(spark)
     weights, rate, floor = lexicon.weights, lexicon.rate, lexicon.floor
 
