@@ -46,8 +46,11 @@ def where_given(rows: DataFrame, **equal: object) -> DataFrame:
     return rows
 
 
-def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of each key that comes last by the order's columns: the greatest struct, so that each task sends one row a key."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    return best.select(*keys, *(F.col("_row")[c].alias(c) for c in (*order, *rest))).select(*rows.columns)
 
 
 def duplicates(rows: DataFrame, keys: Sequence[str], member: str = "id") -> DataFrame:

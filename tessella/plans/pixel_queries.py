@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import pixels as P
 from tessella.plans.registry import Tables, query
+from tessella.sources import rasters
 
 _BACK = np.linalg.inv(np.array(P.HED))
 _LOGS = [f"ln(greatest({c} / 255.0, 1e-6)) / {float(np.log(1e-6))!r}" for c in P.RGB]
@@ -116,3 +117,28 @@ def feature_vectors(t: Tables) -> DataFrame:
     """The 56 features of each band of sixteen rows of the image."""
     bands = t("pixels").withColumns({"band": F.floor(F.col("py") / 16), "py": F.col("py") % 16})
     return P.feature_vector(bands, ("band",))
+
+
+@query("SELECT CAST(a.px AS BIGINT) AS px, CAST(b.py AS BIGINT) AS py, coalesce(p.r, 255) AS r, coalesce(p.g, 255) AS g, coalesce(p.b, 255) AS b FROM range(40) a(px) CROSS JOIN range(12) b(py) LEFT JOIN pixels p ON p.px = a.px + 40 AND p.py = b.py - 3")
+def region_read(t: Tables) -> DataFrame:
+    """A region that hangs over the image's right and upper edge."""
+    return rasters.region(t("pixels").select("px", "py", *P.RGB), (), 40, -3, 40, 12)
+
+
+@query("SELECT CAST(floor(px / 4) AS BIGINT) AS px, CAST(floor(py / 4) AS BIGINT) AS py, CAST(floor(avg(r) + 0.5) AS BIGINT) AS r, CAST(floor(avg(g) + 0.5) AS BIGINT) AS g, CAST(floor(avg(b) + 0.5) AS BIGINT) AS b FROM pixels GROUP BY 1, 2")
+def thumbnail(t: Tables) -> DataFrame:
+    return rasters.coarser(t("pixels"), (), 4)
+
+
+@query("""SELECT id, CASE id % 6 WHEN 0 THEN 'dicom' WHEN 1 THEN 'slide' WHEN 2 THEN 'tiff' WHEN 3 THEN 'png' WHEN 4 THEN 'slide' END AS format, CAST(1 + greatest(0, ceil(log2(least(width, 300 * (id % 40 + 1)) / 512.0))) AS INTEGER) AS levels FROM slides""")
+def slide_formats(t: Tables) -> DataFrame:
+    """Formats by content first, then by name, and the levels of pyramids made of images."""
+    head = F.expr("CASE id % 6 WHEN 0 THEN concat(repeat('x', 128), 'DICM') WHEN 1 THEN concat('II*', chr(0), 'x') WHEN 2 THEN concat('MM', chr(0), '*') ELSE 'GIF8' END").cast("binary")
+    head = F.when(F.col("id") % 6 == 3, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(head)
+    name = F.expr("concat('a.b', id, CASE id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.SVS' WHEN 2 THEN '.tif' WHEN 4 THEN '.mrxs' ELSE '.gif' END)")
+    return t("slides").select("id", rasters.file_format(head, name).alias("format"), rasters.level_count(F.col("width"), 300 * (F.col("id") % 40 + 1)).alias("levels"))
+
+
+@query(None)
+def synthetic_slide(t: Tables) -> DataFrame:
+    return rasters.synthetic(t("region").sparkSession, 240, 160)

@@ -13,10 +13,10 @@ from tessella.plans.registry import ORACLES, QUERIES, Tables, query
 
 def _rois_with_stats(t: Tables) -> DataFrame:
     """Regions with their statistics as JSON text: absent for some, malformed for others."""
-    stats = t("roi_stats").select("id", "parses", "tissue", "hema", "eosin", "r", "g", "b")
+    stats = t("roi_stats").select("id", "slide_id", "parses", "tissue", "hema", "eosin", "r", "g", "b")
     doc = F.to_json(F.struct(F.lit(128).alias("width_px"), F.lit(128).alias("height_px"), F.array("r", "g", "b").alias("mean_rgb"), F.struct(F.col("hema").alias("hematoxylin_mean"), F.col("eosin").alias("eosin_mean")).alias("he_deconvolution"), F.col("tissue").alias("tissue_fraction")))
     text = F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 97 == 0, F.lit("{not json")).otherwise(doc)
-    return t("rois").join(stats.select("id", text.alias("stats_json")), "id")
+    return t("rois").join(stats.select("id", "slide_id", text.alias("stats_json")), ["id", "slide_id"])  # so that a filter on the slide reaches both sides
 
 
 _FLAT = """SELECT r.id, r.slide_id, r.label, (r.x1 - r.x0) * s.mpp AS width_um, (r.y1 - r.y0) * s.mpp AS height_um, (r.x1 - r.x0) * s.mpp * ((r.y1 - r.y0) * s.mpp) / 1e6 AS area_mm2,
@@ -74,7 +74,7 @@ _HISTORY = "created_at DESC, line DESC, part_id DESC, supp_id DESC, price DESC,
 
 @query(f"SELECT annotation_id, name, value, created_at FROM (SELECT *, row_number() OVER (PARTITION BY annotation_id, name ORDER BY {_HISTORY}) AS k FROM measurements) x WHERE k = 1")
 def measurement_latest(t: Tables) -> DataFrame:
-    order = [F.desc(c.split()[0]) for c in _HISTORY.split(", ")]
+    order = [c.split()[0] for c in _HISTORY.split(", ")]
     return R.latest(t("measurements"), ["annotation_id", "name"], order).select("annotation_id", "name", "value", "created_at")
 
 

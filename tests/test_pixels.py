@@ -110,3 +110,34 @@ def test_classifier(spark, tmp_path):
     assert [r["name"] for r in M.listed(spark, str(tmp_path)).collect()] == ["m"]
     again = M.label_metric(M.load(spark, path), "a")(df.where("id = 0")).first()["value"]
     assert again == pytest.approx(next(p["p"] for r in told if r["id"] == 0 for p in r["probabilities"] if p["label"] == "a"))
+
+
+def test_image_files_become_tiles_and_pixels(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tessella.sources import rasters
+
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 256, (20, 30, 3)).astype(np.uint8)
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    raw = b"".join(b"\0" + row.tobytes() for row in image)
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 30, 20, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    (tmp_path / "b.txt").write_text("no image")
+    assert sorted(r["format"] or "" for r in rasters.formats(spark, str(tmp_path)).collect()) == ["", "png"]
+    cut = rasters.tiles(rasters.images(spark, str(tmp_path)), 16)
+    assert sorted((r["col"], r["row"], r["width"], r["height"]) for r in cut.collect()) == [(0, 0, 16, 16), (0, 1, 16, 4), (1, 0, 14, 16), (1, 1, 14, 4)]
+    got = {(r["px"], r["py"]): (r["r"], r["g"], r["b"]) for r in rasters.pixels(cut, 16).collect()}
+    assert got == {(x, y): tuple(map(int, image[y, x])) for y in range(20) for x in range(30)}
+    edge = rasters.region(rasters.pixels(cut, 16), ["path"], 28, 18, 4, 4).collect()
+    assert len(edge) == 16 and sum((r["r"], r["g"], r["b"]) == (255, 255, 255) for r in edge) >= 12
+
+
+def test_the_synthetic_slide_is_the_same_each_time(spark):
+    from tessella.sources import rasters
+
+    one, two = (sorted(map(tuple, rasters.synthetic(spark, 50, 40).collect())) for _ in range(2))
+    assert one == two and len(one) == 2000 and min(r[2] for r in one) < 110 < 220 < max(r[2] for r in one)
