@@ -254,9 +254,9 @@ def _stretches(spark: SparkSession, docs: DataFrame, window: int) -> DataFrame:
     asks = asks.unionByName(visits.select("doc_id", "twin", F.struct(home(*(f"t_{c}" for c in _PLACED)), F.lit(False).alias("is_passage"), "pos", "n").alias("ask")))
     by_doc = asks.groupBy("doc_id", "twin").agg(F.collect_list("ask").alias("asks"))
     fragments = stash(docs.join(by_doc, ["doc_id", "twin"]).mapInArrow(_fragments(window), "shard int, is_passage boolean, doc_id long, twin long, pos int, n_words int, text string"))
-    loads = fragments.where("NOT is_passage").groupBy("shard").agg((F.floor(F.sum("n_words") / STREAM_WORDS) + 1).cast("int").alias("parts"))
+    loads = fragments.where("NOT is_passage").groupBy("shard").agg((F.floor(F.sum("n_words") / STREAM_WORDS) + 1).cast("int").alias("parts"), F.count("*").alias("streams"))
     dealt = F.when(F.col("is_passage"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "twin", "pos"), F.col("parts")).cast("int")))
-    tiles = fragments.drop("n_words").join(F.broadcast(loads), "shard").withColumn("part", F.explode(dealt))  # one row a shard
+    tiles = join_hot(fragments.drop("n_words"), loads, ["shard"], "streams", fragments.count()).withColumn("part", F.explode(dealt))
     found = Stash(spark, tiles.groupBy("shard", "part").applyInPandas(_locate(window), "doc_id long, twin long, a long, b long"))
     for old in used:
         old.drop()

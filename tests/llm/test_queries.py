@@ -94,8 +94,10 @@ def test_op4(spark, vectors):
     assert got == {i: (int(n), want[i], want[i] == i) for i, n in zip(ids, near.sum(1), strict=True)}
 
 
-def test_op5_adds_what_the_patterns_leave_out(spark, docs):
-    got = {r["doc_id"]: r for r in queries.op5_pii(spark, DATA).collect()}
+def test_op5_adds_what_the_patterns_leave_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    got = {r["doc_id"]: r for r in queries.op5_pii(spark, sf).collect()}
     tokens = {r["doc_id"]: [m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"] or "")] for r in docs}
     assert sum(map(len, tokens.values())) > 0
     for i, spans in tokens.items():
@@ -103,6 +105,8 @@ def test_op5_adds_what_the_patterns_leave_out(spark, docs):
         assert all(f"secret:{a}:{b}" in told for a, b in spans) and got[i]["n_added"] >= len(spans)
     mails = {r["doc_id"]: len(re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r["text"] or "")) for r in docs}
     assert {i: r["n_email"] for i, r in got.items()} == mails
+    plain = [r for r in docs if not tokens[r["doc_id"]]]
+    assert sum(got[r["doc_id"]]["n_added"] for r in plain) <= 0.02 * len(plain)
 
 
 def removed(texts, window):
