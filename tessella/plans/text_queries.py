@@ -145,14 +145,14 @@ def skip_tally(t: Tables) -> DataFrame:
     return skip_counts(reasons).select(F.col("reason").alias("problem"), "n")
 
 
-@query("""SELECT id, position FROM (SELECT id, CAST(row_number() OVER (ORDER BY origin, id) - 1 AS INTEGER) AS position FROM (SELECT id, 0 AS origin FROM rois WHERE slide_id = 2 AND id % 2 = 0 UNION ALL SELECT id, 1 FROM rois WHERE slide_id = 2) x) y WHERE position % 3 = 0""")
+@query("""SELECT id, position FROM (SELECT id, CAST(row_number() OVER (ORDER BY origin, id) - 1 AS INTEGER) AS position FROM (SELECT id, 0 AS origin FROM rois WHERE slide_id = 2 AND id % 2 = 0 UNION ALL SELECT id, 1 FROM rois WHERE slide_id = 2) x) y""")
 def highlight_positions(t: Tables) -> DataFrame:
     """Where rows stand in the list of session regions and then saved ones; one slide's list, as a viewer shows it."""
     from pyspark.sql.window import Window
 
     own = t("rois").where("slide_id = 2").select("id")
     both = own.where("id % 2 = 0").withColumn("origin", F.lit(0)).unionByName(own.withColumn("origin", F.lit(1)))
-    return both.withColumn("position", F.row_number().over(Window.orderBy("origin", "id")) - 1).where("position % 3 = 0").select("id", "position")
+    return both.withColumn("position", F.row_number().over(Window.orderBy("origin", "id")) - 1).select("id", "position")
 
 
 @query("""SELECT slide_id, gx, gy, CAST(gy * 4 + gx + 1 AS INTEGER) AS done, CAST(16 AS INTEGER) AS total, CASE WHEN (slide_id + gx) % 5 = 0 THEN NULL ELSE CAST((slide_id * 3 + gx * 7 + gy) % 11 AS DOUBLE) / 10 END AS value FROM (SELECT s.id AS slide_id, CAST(a.gx AS INTEGER) AS gx, CAST(b.gy AS INTEGER) AS gy FROM slides s, range(4) a(gx), range(4) b(gy)) x""")

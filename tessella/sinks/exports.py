@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import geometry
+from tessella.functions import geometry, strings
 
 
 def csv_cell(value: Column, kind: str) -> Column:
@@ -79,7 +79,7 @@ def prompt(p: Column) -> Column:
         F.lit("### ROI selection"),
         F.concat(F.lit("- Slide: "), p["slide_name"], F.lit(" (level-0 dimensions: "), F.element_at(p["slide_dimensions"], 1), F.lit("x"), F.element_at(p["slide_dimensions"], 2), F.lit(" px)")),
         F.concat(F.lit("- Microns-per-pixel: "), unknown(p["mpp"], p["mpp"].cast("string"))),
-        F.concat(F.lit("- Approx magnification: "), unknown(p["magnification"], F.concat(F.format_number(p["magnification"], "0.0"), F.lit("x")))),
+        F.concat(F.lit("- Approx magnification: "), unknown(p["magnification"], F.concat(strings.one_decimal(p["magnification"]), F.lit("x")))),
         F.concat(F.lit("- ROI kind: "), p["roi"]["kind"]),
         F.concat(F.lit("- ROI bbox (level-0 px): x0="), box(0), F.lit(", y0="), box(1), F.lit(", x1="), box(2), F.lit(", y1="), box(3), F.lit(" ("), box(2) - box(0), F.lit("x"), box(3) - box(1), F.lit(" px)")),
         F.concat(F.lit("- Patch image: "), p["patch_path"]),

@@ -139,5 +139,5 @@ def test_image_files_become_tiles_and_pixels(spark, tmp_path):
 def test_the_synthetic_slide_is_the_same_each_time(spark):
     from tessella.sources import rasters
 
-    one, two = (sorted(map(tuple, rasters.synthetic(spark, 50, 40).collect())) for _ in range(2))
-    assert one == two and len(one) == 2000 and min(r[2] for r in one) < 110 < 220 < max(r[2] for r in one)
+    one, two = (sorted(map(tuple, rasters.synthetic(spark, 200, 40).collect())) for _ in range(2))
+    assert one == two and len(one) == 8000 and min(r[2] for r in one) < 110 < 220 < max(r[2] for r in one)
