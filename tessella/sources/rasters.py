@@ -21,7 +21,7 @@ DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {}
 def file_format(head: Column, name: Column) -> Column:
     """The format of a file by its first bytes, else by its name: dicom, tiff, png, jpeg, slide; NULL for others."""
     hexed = F.hex(F.substring(head, 1, 8))
-    suffix = F.lower(F.regexp_extract(name, r"\\.([A-Za-z0-9]+)$", 1))
+    suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     return (
         F.when(F.substring(head, 129, 4) == F.encode(F.lit("DICM"), "UTF-8"), "dicom")
         .when(hexed.rlike("^(?:49492A00|4D4D002A|49492B00|4D4D002B)"), F.when(suffix.isin("svs", "ndpi", "scn"), "slide").otherwise("tiff"))
