@@ -136,9 +136,14 @@ def first_names(t: Tables) -> DataFrame:
 
 @query("""SELECT l_orderkey AS annotation_id, l_linenumber % 2 AS layer, arg_max(l_discount, l_linenumber) AS value FROM lineitem GROUP BY 1, 2""")
 def resolutions_recorded(t: Tables) -> DataFrame:
-    """An upsert on a composite key: of several rows the last one counts."""
-    rows = t("measurements").select("annotation_id", (F.col("line") % 2).alias("layer"), "line", "value")
-    return S.latest_wins(rows, ["annotation_id", "layer"], [F.desc("line")]).select("annotation_id", "layer", "value")
+    """An upsert on a composite key: of several rows the last one counts, and of equally late ones the first in the table.
+
+    Rows without a line or a value count only if their key has no others; its value is NULL then.
+    """
+    rows = t("lineitem_placed").selectExpr("l_orderkey AS annotation_id", "l_linenumber % 2 AS layer", "l_linenumber AS line", "l_discount AS value", "file_path", "row_index")
+    counts = F.col("line").isNotNull() & F.col("value").isNotNull()
+    last = S.latest_wins(rows, ["annotation_id", "layer"], [counts.desc(), F.desc("line"), F.col("file_path"), F.col("row_index")])
+    return last.select("annotation_id", "layer", F.when(counts, F.col("value")).alias("value"))
 
 
 @query("""SELECT id, CASE WHEN id % 3 = 0 THEN first_seen ELSE 'now' END AS first_seen_at, CASE WHEN id % 2 = 0 OR id % 3 <> 0 THEN NULL ELSE 'gone' END AS missing_since FROM (SELECT id, 'then' AS first_seen FROM slide_files) x WHERE id % 2 = 0 OR id % 3 = 0""")

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
+#: Tables whose rows can be told apart by their place, as ``<table>_placed`` with their file and their number in it; Spark only.
+PLACED = ("lineitem",)
 
 VIEWS = {
     "slides": """
@@ -62,6 +64,8 @@ def register(spark: SparkSession, sf_dir: str) -> None:
     _current[id(spark)] = sf_dir, spark
     for table in TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    for table in PLACED:
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").select("*", "_metadata.file_path", "_metadata.row_index").createOrReplaceTempView(f"{table}_placed")
     for name, sql in VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
 

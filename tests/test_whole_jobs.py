@@ -5,12 +5,14 @@ import statistics
 from collections import Counter
 from pathlib import Path
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tessella.functions import strings
 from tessella.operators import relational as R
-from tessella.plans.queries import QUERIES
+from tessella.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -81,3 +83,26 @@ def test_viewport_changes_of_every_session(spark):
     got = QUERIES["viewport_changes"](spark, str(DATA)).collect()
     assert {r["session_id"]: r["n"] for r in got} == Counter(r["user_id"] for r in table("events"))
     assert 0 < sum(r["changes"] for r in got) < sum(r["n"] for r in got)
+
+
+def test_of_equally_late_resolutions_the_first_counts(spark, tmp_path):
+    for f in DATA.iterdir():
+        if f.stem != "lineitem":
+            (tmp_path / f.name).symlink_to(f)
+    held = pq.read_table(DATA / "lineitem.parquet")
+    lines = [(-1, 3, 0.1), (-1, 3, 0.2), (-1, 5, None), (-2, 1, None), (-3, None, 0.3), (-3, None, 0.4), (None, 2, 0.5), (None, 2, 0.6), (0, 7, 0.7), (0, 7, 0.8), (1, 6, 0.9)]
+    odd = pa.table({c: pa.array([r[i] for r in lines], held.schema.field(c).type) for i, c in enumerate(("l_orderkey", "l_linenumber", "l_discount"))})
+    for c in held.column_names:
+        if c not in odd.column_names:
+            odd = odd.append_column(c, held[c][: len(lines)])
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    pq.write_table(odd.select(held.column_names), folder / "a.parquet")  # Spark reads the larger file first
+    pq.write_table(held, folder / "b.parquet")
+    connection = duckdb.connect()
+    connection.sql("SET threads = 1")
+    connection.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    want = connection.sql(ORACLES["resolutions_recorded"]).fetchall()
+    got = [tuple(r) for r in QUERIES["resolutions_recorded"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(-1, 1, 0.1), (-2, 1, None), (-3, None, None), (None, 0, 0.5), (0, 1, 0.7), (1, 0, 0.9)} <= set(got)
